@@ -70,6 +70,23 @@ WHERE event_id % 3 = 0 AND (event_id % p.n) % 4 <> 3""",
     # latest triage result per message (max id), all columns
     "latest_v": """SELECT t.* FROM triage_v t
 JOIN (SELECT email_id, max(id) AS mid FROM triage_v GROUP BY email_id) m ON t.id = m.mid""",
+    # values each message's latest result folds into sender statistics:
+    # current values (cur) and the model's original values (llm)
+    "folded_v": """SELECT e.id, l.id AS triage_id, e.sender_email, e.sender_domain, e.created_at, l.status,
+  coalesce(c.name, l.proposed_category_name, 'Uncategorized') AS category,
+  coalesce(lc.name, l.proposed_category_name, 'Uncategorized') AS llm_category,
+  l.suggested_action AS action, l.llm_suggested_action AS llm_action,
+  CASE l.urgency WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 END AS urgency_weight,
+  CASE l.llm_urgency WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 END AS llm_urgency_weight,
+  l.confidence, l.updated_at AS at_ts
+FROM emails_v e JOIN latest_v l ON l.email_id = e.id
+LEFT JOIN categories_v c ON c.id = l.category_id
+LEFT JOIN categories_v lc ON lc.id = l.llm_category_id""",
+    "hist_v": """SELECT sender_email, 'category' AS kind, category AS label, count(*) AS n,
+  min((created_at, id)) AS first_seen FROM folded_v GROUP BY sender_email, category
+UNION ALL
+SELECT sender_email, 'action' AS kind, action AS label, count(*) AS n,
+  min((created_at, id)) AS first_seen FROM folded_v GROUP BY sender_email, action""",
 }
 
 _ORDER = list(VIEWS)
