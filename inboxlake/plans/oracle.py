@@ -87,6 +87,20 @@ LEFT JOIN categories_v lc ON lc.id = l.llm_category_id""",
 UNION ALL
 SELECT sender_email, 'action' AS kind, action AS label, count(*) AS n,
   min((created_at, id)) AS first_seen FROM folded_v GROUP BY sender_email, action""",
+    "categories_full_v": """SELECT *, CAST(NULL AS VARCHAR) AS description,
+  CASE WHEN id <= 15 THEN 'user' ELSE 'llm' END AS source, id <= 15 AS is_system_default FROM categories_v""",
+    "responses_v": """SELECT id, email_id,
+  CASE WHEN id % 4 = 0 THEN NULL ELSE llm_category_id END AS matched_category_id,
+  CASE WHEN id % 4 = 0 THEN CASE id % 3 WHEN 0 THEN 'Banking' WHEN 1 THEN 'Topic ' || CAST(id % 7 AS VARCHAR)
+       ELSE 'Crypto Alerts' END END AS proposal_name,
+  CASE WHEN id % 4 = 0 THEN CASE WHEN id % 5 = 0 THEN '  ' ELSE 'because ' || CAST(id AS VARCHAR) END END AS proposal_reasoning,
+  confidence FROM triage_v""",
+    "commands_v": """SELECT event_id AS cmd_id, ts,
+  CASE event_type WHEN 'click' THEN 'accept' WHEN 'view' THEN 'reject' WHEN 'purchase' THEN 'update'
+       WHEN 'error' THEN 'delete' ELSE 'create' END AS command,
+  CAST(1 + event_id % 18 AS INT) AS category_id,
+  CASE WHEN event_type = 'signup' THEN 'Topic ' || CAST(user_id % 50 AS VARCHAR) END AS name,
+  CAST(floor(value) AS INT) % 101 AS threshold FROM events""",
 }
 
 _ORDER = list(VIEWS)
@@ -106,6 +120,9 @@ def with_views(body: str) -> str:
     if not needed:
         return body
     ctes = ",\n".join(f"{n} AS (\n{VIEWS[n]}\n)" for n in _ORDER if n in needed)
+    stripped = body.lstrip()
+    if stripped[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{stripped[5:]}"
     return f"WITH {ctes}\n{body}"
 
 

@@ -150,6 +150,49 @@ def actions_log_from(events: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
+SEED_NAMES = [r[1] for r in CATEGORY_ROWS[:15]]
+
+
+def categories_full(categories: DataFrame) -> DataFrame:
+    """Categories with description, source and the system-default flag (seeded names)."""
+    seeded = F.col("name").isin(*SEED_NAMES)
+    return categories.select(
+        "*", F.lit(None).cast("string").alias("description"),
+        F.when(seeded, "user").otherwise("llm").alias("source"),
+        seeded.alias("is_system_default"))
+
+
+def model_responses(triage: DataFrame) -> DataFrame:
+    """Parsed model responses derived from results: a matched id for most rows,
+    otherwise a proposal (existing active name, new name, or existing pending
+    name; blank reasoning for some, which voids the proposal)."""
+    tid = F.col("id")
+    no_match = tid % 4 == 0
+    name = (F.when(tid % 3 == 0, F.lit("Banking"))
+             .when(tid % 3 == 1, F.concat(F.lit("Topic "), (tid % 7).cast("string")))
+             .otherwise(F.lit("Crypto Alerts")))
+    reasoning = F.when(tid % 5 == 0, F.lit("  ")).otherwise(F.concat(F.lit("because "), tid.cast("string")))
+    return triage.select(
+        "id", "email_id",
+        F.when(~no_match, F.col("llm_category_id")).alias("matched_category_id"),
+        F.when(no_match, name).alias("proposal_name"),
+        F.when(no_match, reasoning).alias("proposal_reasoning"),
+        "confidence")
+
+
+def category_commands(events: DataFrame) -> DataFrame:
+    """Category commands derived from events (C4)."""
+    eid = F.col("event_id")
+    return events.select(
+        eid.alias("cmd_id"), "ts",
+        case(F.col("event_type"), {"click": "accept", "view": "reject", "purchase": "update",
+                                   "error": "delete"}, "create").alias("command"),
+        (1 + eid % 18).cast("int").alias("category_id"),
+        F.when(F.col("event_type") == "signup",
+               F.concat(F.lit("Topic "), (F.col("user_id") % 50).cast("string"))).alias("name"),
+        (F.floor(F.col("value")).cast("int") % 101).alias("threshold"))
+
+
 def embeddings_from(embeddings: DataFrame) -> DataFrame:
     return embeddings.select(F.col("vec_id").alias("email_id"), "embedding")
 
@@ -181,6 +224,18 @@ class Fixture:
     def actions_log(self) -> DataFrame:
         return actions_log_from(self.t.events, self.t.documents)
 
+    @cached_property
+    def categories_full(self) -> DataFrame:
+        return categories_full(self.categories)
+
+    @cached_property
+    def responses(self) -> DataFrame:
+        return model_responses(self.triage)
+
+    @cached_property
+    def category_commands(self) -> DataFrame:
+        return category_commands(self.t.events)
+
     @cached_property
     def embeddings(self) -> DataFrame:
         return embeddings_from(self.t.embeddings)
