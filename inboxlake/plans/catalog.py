@@ -40,7 +40,7 @@ def oracle_sql() -> dict[str, str]:
     return {k: v[1] for k, v in REGISTRY.items() if v[1]}
 
 
-_MODULES = ["q_queue", "q_reputation", "q_categories", "q_ops"]
+_MODULES = ["q_queue", "q_reputation", "q_categories", "q_ops", "q_text"]
 
 
 def _load() -> None:
