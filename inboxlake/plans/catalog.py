@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
 from ..sources.fixtures import Fixture
 from .oracle import with_views
 
@@ -22,6 +23,7 @@ def query(name: str, oracle: str | None = None):
     """Register a query builder; ``oracle`` is DuckDB SQL over the fixture views."""
     def deco(fn: Callable[[Fixture], DataFrame]):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             return fn(Fixture(spark, sf_dir))
         build.__name__ = fn.__name__
         build.__doc__ = fn.__doc__

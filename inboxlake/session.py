@@ -31,6 +31,7 @@ def build_session(master: str = "local[8]", app: str = "inboxlake",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -56,3 +57,25 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (for stream checkpoints, versioned tables)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, *parts) if "://" not in base else "/".join([base.rstrip("/"), *parts])
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``inboxlake`` importable on executors (Arrow UDF bodies live in it).
+
+    Zips the package once per driver process and registers it with
+    ``addPyFile``; Spark distributes it to every executor.
+    """
+    sc = spark.sparkContext
+    key = id(sc._jsc) if getattr(sc, "_jsc", None) is not None else id(sc)
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="inboxlake-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "inboxlake"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="inboxlake")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
