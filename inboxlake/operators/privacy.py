@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import php_trim
+from .partitioning import spread
 
 SPAN_TYPE = "array<struct<entity_type:string,start:int,end:int,score:double>>"
 DEFAULT_THRESHOLD = 0.4
@@ -181,7 +182,7 @@ def anonymize_stage(emails: DataFrame, parity: bool = False) -> tuple[DataFrame,
     Returns (messages with anonymized columns, mapping rows).
     """
     todo = emails.where(~F.coalesce(F.col("is_anonymized"), F.lit(False))) if "is_anonymized" in emails.columns else emails
-    d = todo.select("*", detect(F.col("subject")).alias("_ss"), detect(F.col("body")).alias("_bs"))
+    d = spread(todo).select("*", detect(F.col("subject")).alias("_ss"), detect(F.col("body")).alias("_bs"))
     blank_s = F.coalesce(php_trim(F.col("subject")), F.lit("")) == ""
     blank_b = F.coalesce(php_trim(F.col("body")), F.lit("")) == ""
     if parity:

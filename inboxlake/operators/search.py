@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stem import porter_stem
+from .partitioning import spread
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -31,11 +32,15 @@ STOP_WORDS = (
 
 
 def tokens(text: Column, distinct: bool = True) -> Column:
-    """Lower-case letter/digit runs without stop words."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    toks = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_SPLIT),
-                    lambda t: (t != "") & ~F.array_contains(stop, t))
-    return F.array_distinct(toks) if distinct else toks
+    """Lower-case letter/digit runs without stop words.
+
+    ``distinct=True`` uses ``array_except`` (one hash pass that also drops
+    duplicates); otherwise occurrences are kept for term frequencies.
+    """
+    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_SPLIT)
+    if distinct:
+        return F.array_except(parts, F.array(F.lit(""), *[F.lit(w) for w in STOP_WORDS]))
+    return F.filter(parts, lambda t: (t != "") & ~t.isin(*STOP_WORDS))
 
 
 def _stem_series(s: pd.Series) -> pd.Series:
@@ -49,7 +54,11 @@ def stem_map(terms: DataFrame) -> DataFrame:
     """term -> stem for the distinct vocabulary (one Python call per batch)."""
     if "stem" not in _UDF:
         _UDF["stem"] = F.pandas_udf(_stem_series, "string")
-    return terms.select("term").distinct().select("term", _UDF["stem"](F.col("term")).alias("stem"))
+    vocab = terms.select("term").distinct()
+    # AQE would pack the (small) vocabulary into a few partitions; spread it
+    # so the Python stemmer runs on every core.
+    vocab = vocab.repartition(terms.sparkSession.sparkContext.defaultParallelism * 2)
+    return vocab.select("term", _UDF["stem"](F.col("term")).alias("stem"))
 
 
 def stemmed(postings: DataFrame, key: str) -> DataFrame:
@@ -63,7 +72,7 @@ def build_index(docs: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     """(key, term, weight, tf) per weighted field, e.g. {'subject': 'A', 'body': 'B'}."""
     out = None
     for col, weight in fields.items():
-        p = (docs.select(key, F.explode(tokens(F.col(col), distinct=False)).alias("term"))
+        p = (spread(docs.select(key, col)).select(key, F.explode(tokens(F.col(col), distinct=False)).alias("term"))
              .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
              .withColumn("weight", F.lit(weight)))
         out = p if out is None else out.unionByName(p)
@@ -72,7 +81,7 @@ def build_index(docs: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
 
 def postings(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     """Distinct (key, term) pairs of one text column."""
-    return docs.select(key, F.explode(tokens(F.col(text_col))).alias("term"))
+    return spread(docs.select(key, text_col)).select(key, F.explode(tokens(F.col(text_col))).alias("term"))
 
 
 def search_all_terms(index: DataFrame, queries: DataFrame, doc_key: str = "doc_id",

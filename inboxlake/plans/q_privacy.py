@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import privacy as pv
+from ..operators.partitioning import spread
 from .catalog import query
 
 
 @query("pii_anonymize")
 def pii_anonymize(fx):
     """T1 + T2: the unique placeholder mappings of every document (exploded)."""
-    d = fx.t.documents.select("doc_id", "text", pv.detect(F.col("text")).alias("spans"))
+    d = spread(fx.t.documents.select("doc_id", "text")).select("doc_id", "text", pv.detect(F.col("text")).alias("spans"))
     txt, maps = pv.anonymize_text(F.col("text"), F.col("spans"))
     return (d.select("doc_id", F.explode(maps).alias("m"))
             .select("doc_id", "m.placeholder", "m.entity_type", F.length("m.original_value").alias("value_chars"),
@@ -24,7 +25,7 @@ def pii_anonymize(fx):
 FROM documents""")
 def pii_roundtrip(fx):
     """T1 -> T2 -> T3 on every document: restoring the placeholders gives the source text back."""
-    d = fx.t.documents.select("doc_id", "text", pv.detect(F.col("text")).alias("spans"))
+    d = spread(fx.t.documents.select("doc_id", "text")).select("doc_id", "text", pv.detect(F.col("text")).alias("spans"))
     anon, maps = pv.anonymize_text(F.col("text"), F.col("spans"))
     back = pv.deanonymize(anon, maps)
     return d.select("doc_id", F.md5(back).alias("text_md5"), F.length("text").alias("n_chars"))
