@@ -79,9 +79,16 @@ def read_current(spark: SparkSession, table: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{version}")
 
 
-def checkpoint_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by writing to the shared folder and reading back (survives executor loss)."""
+def checkpoint_table(spark: SparkSession, df: DataFrame, name: str, sort_by: list[str] | None = None) -> DataFrame:
+    """Materialise ``df`` as parquet in the shared folder and read it back.
+
+    Cuts lineage (a lost executor re-reads files instead of recomputing
+    upstream UDF stages) and lets later scans prune columns and row groups;
+    ``sort_by`` clusters rows inside each file for min/max pruning.
+    """
     path = shared_path(spark, "stage", f"{name}-{uuid.uuid4().hex}")
+    if sort_by:
+        df = df.sortWithinPartitions(*sort_by)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
