@@ -25,7 +25,7 @@ def insert_absent(store: DataFrame, incoming: DataFrame, key: str, arrival: str)
     """
     cols = [c for c in incoming.columns if c != key]
     first = (incoming.groupBy(key)
-             .agg(F.min_by(F.struct(*cols), F.struct(arrival, *[c for c in cols if c != arrival])).alias("_r"))
+             .agg(F.min_by(F.struct(*cols), F.col(arrival)).alias("_r"))
              .select(key, *[F.col(f"_r.{c}").alias(c) for c in cols]))
     return first.join(store.select(key), key, "left_anti")
 
