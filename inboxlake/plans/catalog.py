@@ -42,7 +42,7 @@ def oracle_sql() -> dict[str, str]:
     return {k: v[1] for k, v in REGISTRY.items() if v[1]}
 
 
-_MODULES = ["q_queue", "q_reputation", "q_categories", "q_ops", "q_text", "q_privacy", "q_vectors", "q_search", "q_model", "q_pipeline", "q_ingest"]
+_MODULES = ["q_queue", "q_reputation", "q_categories", "q_ops", "q_text", "q_privacy", "q_vectors", "q_search", "q_model", "q_pipeline", "q_ingest", "q_streaming"]
 
 
 def _load() -> None:
