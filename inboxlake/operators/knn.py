@@ -138,7 +138,9 @@ def blocked_topk(queries: DataFrame, candidates: DataFrame, m: int, exclude_self
                  F.explode(F.sequence(F.lit(0), qb_n - 1)).alias("qb"))
     grp = keys + ["qb", "cb"]
     pairs = (q.groupBy(*grp).cogroup(c.groupBy(*grp))
-             .applyInPandas(_block_topk(m, exclude_self), PAIR_SCHEMA))
+             .applyInPandas(_block_topk(m, exclude_self), PAIR_SCHEMA)
+             # Arrow turns NaN into null: a zero vector's similarity is NaN again
+             .withColumn("similarity", F.coalesce(F.col("similarity"), F.lit(float("nan")))))
     if keys:  # the same pair can meet in several bands
         pairs = pairs.groupBy("query_id", "email_id").agg(F.max("similarity").alias("similarity"))
     return rank_neighbours(pairs, m)
