@@ -101,6 +101,8 @@ def seed_upsert(categories: DataFrame, seeds: DataFrame) -> DataFrame:
         F.when(seeded, F.lit("active")).otherwise(F.col("status")).alias("status"),
         F.col("confidence_threshold"),
         (seeded | F.coalesce(F.col("is_system_default"), F.lit(False))).alias("is_system_default"),
+        *[F.col(c) for c in categories.columns
+          if c not in ("id", "name", "description", "source", "status", "confidence_threshold", "is_system_default")],
     )
 
 

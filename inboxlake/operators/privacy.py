@@ -173,13 +173,13 @@ def deanonymize(text: Column, mappings: Column) -> Column:
         text, lambda t, m: F.replace(t, F.concat(F.lit("["), m["placeholder"], F.lit("]")), m["original_value"]))
 
 
-def anonymize_stage(emails: DataFrame, parity: bool = False) -> tuple[DataFrame, DataFrame]:
-    """T4: anonymize subject and body of messages not anonymized yet (idempotent skip).
+def anonymize_columns(emails: DataFrame, parity: bool = False) -> DataFrame:
+    """T4 as one projection: anonymized_subject, anonymized_body and the unique
+    ``pii_mappings`` array of every message not anonymized yet (idempotent skip).
 
     Default numbering runs across both fields so no original is lost;
     ``parity=True`` numbers each field from 1 and lets body mappings overwrite
     subject mappings with the same placeholder (S8), as the reference does.
-    Returns (messages with anonymized columns, mapping rows).
     """
     todo = emails.where(~F.coalesce(F.col("is_anonymized"), F.lit(False))) if "is_anonymized" in emails.columns else emails
     d = spread(todo).select("*", detect(F.col("subject")).alias("_ss"), detect(F.col("body")).alias("_bs"))
@@ -196,13 +196,23 @@ def anonymize_stage(emails: DataFrame, parity: bool = False) -> tuple[DataFrame,
         (s_txt, b_txt), maps = placeholders([F.col("subject"), F.col("body")], [F.col("_ss"), F.col("_bs")])
         s_txt = F.when(blank_s, F.lit("")).otherwise(s_txt)
         b_txt = F.when(blank_b, F.lit("")).otherwise(b_txt)
-    out = d.select("*", s_txt.alias("anonymized_subject"), b_txt.alias("anonymized_body"),
-                   maps.alias("_maps")).drop("_ss", "_bs")
-    mappings = out.select(F.col("id").alias("email_id"), F.explode("_maps").alias("m")).select(
-        "email_id", "m.placeholder", "m.entity_type", F.col("m.original_value"), F.col("m.score").alias("detection_score"))
-    messages = out.withColumn("is_anonymized", F.lit(True)).withColumn(
-        "mapping_count", F.size("_maps")).drop("_maps")
-    return messages, mappings
+    drop = [c for c in ("is_anonymized",) if c in todo.columns]
+    return (d.drop(*drop).select("*", s_txt.alias("anonymized_subject"), b_txt.alias("anonymized_body"),
+                                 maps.alias("pii_mappings")).drop("_ss", "_bs")
+            .withColumn("is_anonymized", F.lit(True)).withColumn("mapping_count", F.size("pii_mappings")))
+
+
+def mapping_rows(anonymized: DataFrame) -> DataFrame:
+    """S8 rows (email_id, placeholder, entity_type, original_value, detection_score)."""
+    return anonymized.select(F.col("id").alias("email_id"), F.explode("pii_mappings").alias("m")).select(
+        "email_id", "m.placeholder", "m.entity_type", F.col("m.original_value"),
+        F.col("m.score").alias("detection_score"))
+
+
+def anonymize_stage(emails: DataFrame, parity: bool = False) -> tuple[DataFrame, DataFrame]:
+    """T4: (messages with anonymized columns, mapping rows)."""
+    out = anonymize_columns(emails, parity)
+    return out.drop("pii_mappings"), mapping_rows(out)
 
 
 def encrypt(col: Column, key: str) -> Column:

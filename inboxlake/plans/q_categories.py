@@ -69,7 +69,8 @@ def category_get_or_create(fx):
 FROM categories_full_v c FULL OUTER JOIN ({seeds_values_sql()}) s ON s.name = c.name""")
 def seed_upsert(fx):
     """Upsert the default taxonomy by name, keeping ids and thresholds."""
-    return cats.seed_upsert(fx.categories_full, seeds_df(fx.spark))
+    return cats.seed_upsert(fx.categories_full, seeds_df(fx.spark)).select(
+        "id", "name", "description", "source", "status", "confidence_threshold", "is_system_default")
 
 
 # merge commands: (source, target); a self merge and an unknown target are refused

@@ -100,3 +100,29 @@ def ordinal_union(frames: list[DataFrame]) -> DataFrame:
         f = f.withColumn("_ord", F.lit(i))
         out = f if out is None else out.unionByName(f)
     return out
+
+
+# ---- small filesystem helpers (Hadoop FileSystem: local, HDFS, object stores) ----
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def fs_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+def fs_list(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    return [s.getPath().getName() for s in fs.listStatus(p)]
+
+
+def fs_touch(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    out.close()
