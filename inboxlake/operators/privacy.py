@@ -30,6 +30,7 @@ class Recognizer:
     pattern: str
     score: float
     validator: str | None = None  # name of a checksum validator
+    hint: str = "[0-9]"           # cheap JVM pre-test: a text without a match cannot contain the entity
 
 
 def _luhn(digits: str) -> bool:
@@ -60,8 +61,9 @@ _VALIDATORS = {"luhn": _luhn, "iban": _iban}
 # Our default recognisers (the reference delegates detection to an external
 # analyzer; these are plain pattern recognisers with fixed confidence).
 DEFAULT_RECOGNIZERS = [
-    Recognizer("EMAIL_ADDRESS", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b", 1.0),
-    Recognizer("URL", r"\bhttps?://[^\s<>\"']+", 0.6),
+    Recognizer("EMAIL_ADDRESS", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b", 1.0,
+               hint="@"),
+    Recognizer("URL", r"\bhttps?://[^\s<>\"']+", 0.6, hint="https?://"),
     Recognizer("IP_ADDRESS", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d.])", 0.6),
     Recognizer("CREDIT_CARD", r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)", 1.0, "luhn"),
     Recognizer("US_SSN", r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)", 0.5),
@@ -103,11 +105,16 @@ def _detect_series(s: pd.Series) -> pd.Series:
 _UDF = {}
 
 
-def detect(text: Column) -> Column:
-    """T1 as a column: ``array<struct<entity_type,start,end,score>>`` (empty for blank text)."""
+def detect(text: Column, recognizers=DEFAULT_RECOGNIZERS) -> Column:
+    """T1 as a column: ``array<struct<entity_type,start,end,score>>`` (empty for blank text).
+
+    Only texts passing a recogniser's hint (e.g. a digit or '@') are sent to
+    Python; the others travel as null and come back as an empty list.
+    """
     if "detect" not in _UDF:
         _UDF["detect"] = F.pandas_udf(_detect_series, SPAN_TYPE)
-    return _UDF["detect"](text)
+    hint = "|".join(sorted({r.hint for r in recognizers}))
+    return F.coalesce(_UDF["detect"](F.when(text.rlike(hint), text)), F.array().cast(SPAN_TYPE))
 
 
 def _sorted_desc(spans: Column) -> Column:
