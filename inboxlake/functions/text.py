@@ -41,10 +41,30 @@ def _udf(name: str, fn, ret: str):
     return _UDFS[name]
 
 
+# ---- fixed values: entities decoded natively (all others go to the Python decoder) ----
+COMMON_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
+                   ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")]
+# ---------------------------------------------------------------------------------------
+_OTHER_ENTITY = (r"&(?!(?:lt|gt|quot|apos|#39|nbsp|copy|middot|amp);)"
+                 r"(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def _decode_common(col: Column) -> Column:
+    # '&amp;' last: no replacement re-introduces '&' or a name character, so the
+    # chain equals one left-to-right pass ('&amp;lt;' -> '&lt;', not '<')
+    for ent, ch in COMMON_ENTITIES:
+        col = F.replace(col, F.lit(ent), F.lit(ch))
+    return col
+
+
 def decode_entities(col: Column) -> Column:
-    """HTML entity decoding (named HTML5, decimal, hex; a terminating ';' is required)."""
+    """HTML entity decoding (named HTML5, decimal, hex; a terminating ';' is required).
+
+    Texts whose entities are all in ``COMMON_ENTITIES`` are decoded natively;
+    only texts with another entity are sent to the Python decoder.
+    """
     dec = _udf("decode", _decode_series, "string")
-    return F.coalesce(dec(F.when(F.instr(col, "&") > 0, col)), col)
+    return F.coalesce(dec(F.when(col.rlike(_OTHER_ENTITY), col)), _decode_common(col))
 
 
 def sender_domain(addr: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators.partitioning import spread
 from .catalog import query
 
 NL = "chr(10)"
@@ -104,7 +105,8 @@ FROM (SELECT page_id, {d_strip_tags(d_collapse(d_decode(d_strip_quotes(d_html_to
 def html_to_text(fx):
     """F6 + F7: HTML-only bodies to clean text (the ingest's body choice with an empty plain part)."""
     s = tx.clean_body(F.lit(None).cast("string"), F.col("html"))
-    return fx.t.pages.select("page_id", F.length(s).alias("n_chars"), F.md5(s).alias("text_md5"))
+    pages = spread(fx.t.pages.select("page_id", "html"))
+    return pages.select("page_id", F.length(s).alias("n_chars"), F.md5(s).alias("text_md5"))
 
 
 _ADDR = """CASE page_id % 5 WHEN 0 THEN 'nodomain' || CAST(page_id AS VARCHAR)

@@ -68,3 +68,12 @@ def test_embedding_text_and_headers(spark):
     df = spark.createDataFrame([({"References": "<a>", "X-Other": "1", "List-Id": ""},)], "h map<string,string>")
     got = df.select(tx.selected_headers(F.col("h"), ["references", "list-id"]).alias("m")).first()["m"]
     assert got == {"References": "<a>"}
+
+
+def test_entity_decoding_matches_single_pass(spark):
+    from inboxlake.functions.text import _decode
+    cases = ["&amp;lt;b&amp;gt;", "&amp;amp;", "a&nbsp;b&copy;c&middot;", "&eacute;t&eacute; &#233; &#xE9;",
+             "&amp", "x &unknown; y", "&quot;q&quot; &apos;a&#39;", "&&amp;;"]
+    df = spark.createDataFrame([(c,) for c in cases], "x string")
+    got = [r.d for r in df.select(tx.decode_entities(F.col("x")).alias("d")).collect()]
+    assert got == [_decode(c) for c in cases]
