@@ -53,6 +53,21 @@ def page(q: DataFrame, page_no: int = 1, size: int = PAGE_SIZE) -> DataFrame:
     return q.offset(size * (page_no - 1)).limit(size) if page_no > 1 else q.limit(size)
 
 
+def page_after(q: DataFrame, last: tuple | None, sort: str = "urgency", size: int = PAGE_SIZE) -> DataFrame:
+    """O3 keyset variant for deep pages: the ``size`` rows after ``last`` =
+    (urgency_weight, received_at, id) of the previous page's final row (urgency
+    order) -- a filter plus top-k, no OFFSET scan of the skipped pages."""
+    if last is not None:
+        w, ts, i = last
+        wc, tc, ic = F.col("urgency_weight"), F.col("received_at"), F.col("id")
+        if sort == "recent":
+            after = (tc < F.lit(ts)) | ((tc == F.lit(ts)) & (wc < w)) | ((tc == F.lit(ts)) & (wc == w) & (ic < i))
+        else:
+            after = (wc < w) | ((wc == w) & (tc < F.lit(ts))) | ((wc == w) & (tc == F.lit(ts)) & (ic < i))
+        q = q.where(after)
+    return sort_queue(q, sort).limit(size)
+
+
 def dashboard_stats(spark: SparkSession, emails: DataFrame, triage: DataFrame,
                     categories: DataFrame, actions: DataFrame) -> DataFrame:
     """The six dashboard counters as one row of scalar subqueries (no join between them).

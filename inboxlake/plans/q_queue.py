@@ -107,3 +107,10 @@ FROM categories_v c""")
 def category_counts(fx):
     """A3: results per category including zero."""
     return queue.category_counts(fx.categories, fx.triage)
+
+
+@query("stage_duration_quantiles")
+def stage_duration_quantiles(fx):
+    """Approximate duration percentiles (p50, p90, p99) per stage."""
+    q = logs.stage_duration_quantiles(fx.pipeline_logs)
+    return q.select("stage", *[F.col("p50_p90_p99")[i].alias(n) for i, n in enumerate(["p50_ms", "p90_ms", "p99_ms"])])
