@@ -175,21 +175,21 @@ def message_nest(fx):
                     F.coalesce("n_logs", F.lit(0)).alias("n_logs"), "first_log", "last_log", "latest_status"))
 
 
-@query("message_detail", oracle=None)
+@query("message_detail")
 def message_detail(fx):
-    """Q2: the detail view for one page of the queue: latest result, actions and
-    timeline nested as time-ordered arrays.  Nesting happens only after the
-    page's ids are selected (bounded by the page size)."""
+    """The detail view of one queue page -- each message's actions and
+    stage log as time-ordered child rows.  The order is a global sort on
+    (email_id, at, child id): range partitioning splits even a message with a
+    huge history over many tasks, where nesting it into one array would not."""
     from ..operators.queue import page, queue_base, sort_queue
-    ids = page(sort_queue(queue_base(fx.emails, fx.triage)), 1).select("id")
-    acts = (fx.actions_log.join(ids.withColumnRenamed("id", "email_id"), "email_id", "left_semi")
-            .groupBy("email_id").agg(F.array_sort(F.collect_list(F.struct("executed_at", "id", "action_type")))
-                                     .alias("actions")))
-    tl = (fx.pipeline_logs.join(ids.withColumnRenamed("id", "email_id"), "email_id", "left_semi")
-          .groupBy("email_id").agg(F.array_sort(F.collect_list(F.struct("recorded_at", "id", "stage", "status",
-                                                                        "message"))).alias("timeline")))
-    return (ids.join(acts, ids["id"] == acts["email_id"], "left").drop("email_id")
-            .join(tl, ids["id"] == tl["email_id"], "left").drop("email_id"))
+    ids = page(sort_queue(queue_base(fx.emails, fx.triage)), 1).select(F.col("id").alias("email_id"))
+    acts = fx.actions_log.join(ids, "email_id", "left_semi").select(
+        "email_id", F.lit("action").alias("kind"), F.col("executed_at").alias("at"), F.col("id").alias("child_id"),
+        F.col("action_type").alias("detail"))
+    logs = fx.pipeline_logs.join(ids, "email_id", "left_semi").select(
+        "email_id", F.lit("log").alias("kind"), F.col("recorded_at").alias("at"), F.col("id").alias("child_id"),
+        F.concat_ws(":", "stage", "status", F.coalesce("message", F.lit(""))).alias("detail"))
+    return acts.unionByName(logs).orderBy("email_id", "at", "kind", "child_id")
 
 
 @query("urgency_scale", oracle="""SELECT urgency, upper(substr(urgency, 1, 1)) || substr(urgency, 2) AS label,
