@@ -167,12 +167,13 @@ def apply_commands(categories: DataFrame, commands: DataFrame, system_flag: Colu
                     .otherwise(F.col("status")).alias("status"),
                    F.when(F.col("new_thr").isNotNull(), F.col("new_thr"))
                     .otherwise(F.col("confidence_threshold")).alias("confidence_threshold"),
-                   F.col("source")))
+                   F.col("source"), F.col("description"), F.col("is_system_default")))
     creates = (cmds.where(F.col("command") == "create")
                .groupBy("name").agg(F.min_by("threshold", order).alias("confidence_threshold"))
                .join(categories.select("name"), "name", "left_anti")
                .select(F.lit(None).cast(categories.schema["id"].dataType).alias("id"), "name",
-                       F.lit("active").alias("status"), "confidence_threshold", F.lit("user").alias("source")))
+                       F.lit("active").alias("status"), "confidence_threshold", F.lit("user").alias("source"),
+                       F.lit(None).cast("string").alias("description"), F.lit(False).alias("is_system_default")))
     return cur.unionByName(creates)
 
 

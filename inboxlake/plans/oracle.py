@@ -101,6 +101,23 @@ SELECT sender_email, 'action' AS kind, action AS label, count(*) AS n,
   CAST(1 + event_id % 18 AS INT) AS category_id,
   CASE WHEN event_type = 'signup' THEN 'Topic ' || CAST(user_id % 50 AS VARCHAR) END AS name,
   CAST(floor(value) AS INT) % 101 AS threshold FROM events""",
+    "commands_ok_v": """SELECT * FROM commands_v WHERE NOT (command = 'delete'
+    AND category_id IN (SELECT id FROM categories_full_v WHERE is_system_default))""",
+    # the taxonomy after applying every category command (latest wins)
+    "commanded_v": """SELECT c.id, c.name,
+  CASE l.life WHEN 'accept' THEN 'active' WHEN 'reject' THEN 'rejected' ELSE c.status END AS status,
+  CASE WHEN u.thr IS NOT NULL THEN u.thr ELSE c.confidence_threshold END AS confidence_threshold,
+  c.source, c.description, c.is_system_default
+FROM categories_full_v c
+LEFT JOIN (SELECT category_id, arg_max(command, (ts, cmd_id)) AS life FROM commands_ok_v
+           WHERE command IN ('accept', 'reject', 'delete') GROUP BY category_id) l ON l.category_id = c.id
+LEFT JOIN (SELECT category_id, arg_max(threshold, (ts, cmd_id)) AS thr FROM commands_ok_v
+           WHERE command = 'update' GROUP BY category_id) u ON u.category_id = c.id
+WHERE coalesce(l.life, '') <> 'delete'
+UNION ALL
+SELECT CAST(NULL AS INT) AS id, name, 'active' AS status, arg_min(threshold, (ts, cmd_id)) AS confidence_threshold,
+  'user' AS source, CAST(NULL AS VARCHAR) AS description, false AS is_system_default
+FROM commands_ok_v WHERE command = 'create' AND name NOT IN (SELECT name FROM categories_v) GROUP BY name""",
 }
 
 _ORDER = list(VIEWS)

@@ -66,13 +66,19 @@ def category_get_or_create(fx):
   CASE WHEN s.name IS NOT NULL THEN 'active' ELSE c.status END AS status,
   c.confidence_threshold,
   (s.name IS NOT NULL OR coalesce(c.is_system_default, false)) AS is_system_default
-FROM categories_full_v c FULL OUTER JOIN ({seeds_values_sql()}) s ON s.name = c.name""")
+FROM commanded_v c FULL OUTER JOIN ({seeds_values_sql()}) s ON s.name = c.name""")
 def seed_upsert(fx):
-    """Upsert the default taxonomy by name, keeping ids and thresholds."""
-    return cats.seed_upsert(fx.categories_full, seeds_df(fx.spark)).select(
+    """Re-run the default-taxonomy seed over the taxonomy the command stream
+    produced (rejected defaults are re-activated, user thresholds and created
+    categories kept, deleted non-defaults stay deleted)."""
+    return cats.seed_upsert(_commanded(fx), seeds_df(fx.spark)).select(
         "id", "name", "description", "source", "status", "confidence_threshold", "is_system_default")
 
 
+def _commanded(fx):
+    return cats.apply_commands(fx.categories_full, fx.category_commands, F.col("is_system_default"))
+
+
 # merge commands: (source, target); a self merge and an unknown target are refused
 _MERGES = [(4, 5), (13, 5), (7, 7), (9, 99)]
 _MERGE_SQL = "SELECT * FROM (VALUES (4, 5), (13, 5), (7, 7), (9, 99)) AS m(source_id, target_id)"
@@ -91,13 +97,19 @@ def category_merge(fx):
 
 @query("category_merge_status", oracle=f"""SELECT c.id, c.name,
   CASE WHEN m.target_id IS NOT NULL THEN 'merged' ELSE c.status END AS status,
-  coalesce(m.target_id, c.merged_into_id) AS merged_into_id
+  coalesce(m.target_id, c.merged_into_id) AS merged_into_id,
+  (SELECT count(*) FROM triage_v t LEFT JOIN {_VALID_MERGE} m2 ON m2.source_id = t.category_id
+    WHERE coalesce(m2.target_id, t.category_id) = c.id) AS result_count
 FROM categories_v c LEFT JOIN {_VALID_MERGE} m ON m.source_id = c.id""")
 def category_merge_status(fx):
-    """Merged sources marked with their target."""
+    """Merged sources marked with their target, with each category's result
+    count after re-pointing (sources drop to zero, targets absorb them)."""
     merges = fx.spark.createDataFrame(_MERGES, "source_id int, target_id int")
-    _, c = cats.merge_categories(fx.triage, fx.categories, merges)
-    return c.select("id", "name", "status", "merged_into_id")
+    t, c = cats.merge_categories(fx.triage, fx.categories, merges)
+    n = t.groupBy(F.col("category_id").alias("id")).agg(F.count(F.lit(1)).alias("result_count"))
+    return (c.join(n, "id", "left")
+            .select("id", "name", "status", "merged_into_id",
+                    F.coalesce("result_count", F.lit(0)).alias("result_count")))
 
 
 # delete requests: a pending, a rejected and a (protected) system default category
@@ -116,24 +128,10 @@ def category_delete_nullout(fx):
     return t.select("id", "category_id", "llm_category_id")
 
 
-@query("apply_category_commands", oracle="""WITH ok AS (
-  SELECT * FROM commands_v k WHERE NOT (command = 'delete'
-    AND category_id IN (SELECT id FROM categories_full_v WHERE is_system_default))),
-life AS (SELECT category_id, arg_max(command, (ts, cmd_id)) AS life FROM ok
-         WHERE command IN ('accept', 'reject', 'delete') GROUP BY category_id),
-upd AS (SELECT category_id, arg_max(threshold, (ts, cmd_id)) AS thr FROM ok WHERE command = 'update' GROUP BY category_id)
-SELECT c.id, c.name,
-  CASE l.life WHEN 'accept' THEN 'active' WHEN 'reject' THEN 'rejected' ELSE c.status END AS status,
-  CASE WHEN u.thr IS NOT NULL THEN u.thr ELSE c.confidence_threshold END AS confidence_threshold, c.source
-FROM categories_full_v c LEFT JOIN life l ON l.category_id = c.id LEFT JOIN upd u ON u.category_id = c.id
-WHERE coalesce(l.life, '') <> 'delete'
-UNION ALL
-SELECT CAST(NULL AS INT) AS id, name, 'active' AS status, arg_min(threshold, (ts, cmd_id)) AS confidence_threshold,
-  'user' AS source
-FROM ok WHERE command = 'create' AND name NOT IN (SELECT name FROM categories_v) GROUP BY name""")
+@query("apply_category_commands", oracle="""SELECT id, name, status, confidence_threshold, source FROM commanded_v""")
 def apply_category_commands(fx):
     """C4: accept / reject / update / delete / create commands, latest wins."""
-    return cats.apply_commands(fx.categories_full, fx.category_commands, F.col("is_system_default"))
+    return _commanded(fx).select("id", "name", "status", "confidence_threshold", "source")
 
 
 @query("approve_and_correct", oracle="""SELECT t.id, t.email_id,
@@ -170,9 +168,10 @@ def approve_and_correct(fx):
 
 
 @query("category_options", oracle="""SELECT id, name, row_number() OVER (ORDER BY name) AS pos
-FROM categories_v WHERE status = 'active'""")
+FROM commanded_v WHERE status = 'active'""")
 def category_options(fx):
-    """Active options for the prompt, by name (exploded with position)."""
-    opts = cats.prompt_options(fx.categories_full)
+    """Active options for the prompt, by name, from the taxonomy the
+    command stream produced (exploded with position)."""
+    opts = cats.prompt_options(_commanded(fx))
     return opts.select(F.posexplode("options").alias("p", "o")).select(
         F.col("o.id").alias("id"), F.col("o.name").alias("name"), (F.col("p") + 1).cast("bigint").alias("pos"))
