@@ -175,7 +175,15 @@ def message_nest(fx):
                     F.coalesce("n_logs", F.lit(0)).alias("n_logs"), "first_log", "last_log", "latest_status"))
 
 
-@query("message_detail")
+@query("message_detail", oracle=f"""WITH page AS (
+  SELECT e.id FROM emails_v e LEFT JOIN latest_v l ON l.email_id = e.id WHERE e.deleted_at IS NULL
+  ORDER BY CASE l.urgency WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC,
+           e.received_at DESC, e.id DESC LIMIT 25)
+SELECT email_id, 'action' AS kind, executed_at AS at, id AS child_id, action_type AS detail
+FROM actions_log_v WHERE email_id IN (SELECT id FROM page)
+UNION ALL
+SELECT email_id, 'log' AS kind, recorded_at AS at, id AS child_id, stage || ':' || status || ':' || coalesce(message, '') AS detail
+FROM pipeline_logs_v WHERE email_id IN (SELECT id FROM page)""")
 def message_detail(fx):
     """The detail view of one queue page -- each message's actions and
     stage log as time-ordered child rows.  The order is a global sort on

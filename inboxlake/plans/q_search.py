@@ -21,13 +21,22 @@ def d_tokens_all(x: str) -> str:
             f"lambda t: t <> '' AND NOT list_contains({_STOP}, t))")
 
 
+_INDEXES: dict = {}
+
+
 def _doc_index(fx, stem: bool = False):
-    """The materialised inverted index of all documents (written once, clustered by term)."""
-    p = store.checkpoint_table(fx.spark, se.postings(fx.t.documents, "doc_id", "text"), "doc_index",
-                               sort_by=["term"])
-    if stem:  # stems from the written postings: the vocabulary is read, not re-tokenised
-        p = store.checkpoint_table(fx.spark, se.stemmed(p, "doc_id"), "doc_index_stemmed", sort_by=["term"])
-    return p
+    """The materialised inverted index of all documents (written once per session
+    and data folder, clustered by term), and its stemmed form."""
+    key = (fx.spark.sparkContext.applicationId, fx.t.sf_dir, stem)
+    if key not in _INDEXES:
+        if stem:  # stems from the written postings: the vocabulary is read, not re-tokenised
+            p = store.checkpoint_table(fx.spark, se.stemmed(_doc_index(fx), "doc_id"), "doc_index_stemmed",
+                                       sort_by=["term"])
+        else:
+            p = store.checkpoint_table(fx.spark, se.postings(fx.t.documents, "doc_id", "text"), "doc_index",
+                                       sort_by=["term"])
+        _INDEXES[key] = p
+    return _INDEXES[key]
 
 
 @query("search_exact_terms", oracle=f"""WITH d AS (SELECT DISTINCT doc_id, unnest({d_tokens('text')}) AS term FROM documents),
