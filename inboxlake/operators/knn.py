@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from ..schemas import ELIGIBLE_EXAMPLE_STATUSES, RAG_LIMIT, RAG_OVERFETCH, UNCATEGORIZED
 
-BLOCK_ROWS = 4096        # rows per block side; a block pair holds <= BLOCK_ROWS^2 scores in chunks
-QUERY_CHUNK = 512        # query rows scored at once inside a block pair (bounds task memory)
+BLOCK_BYTES = 64 << 20   # vector bytes per block side held by one cogroup task
+BLOCK_ROWS = 4096        # block rows when the dimension is not known
+QUERY_CHUNK = 512        # query rows scored at once inside a block pair (bounds the score matrix)
 PAIR_SCHEMA = "query_id long, email_id long, similarity double"
 
 
@@ -107,8 +108,17 @@ def _blocks(n: int, rows: int = BLOCK_ROWS) -> int:
     return max(1, math.ceil(n / rows))
 
 
+def block_rows_for(n: int, dims: int, parallelism: int) -> int:
+    """Rows per block: as large as the memory budget allows (fewer blocks = less
+    replication of the other side), but small enough that every core gets work."""
+    cap = max(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, dims)))
+    want = max(BLOCK_ROWS, math.ceil(n / max(1, parallelism)))  # a block must amortise its task overhead
+    return int(min(cap, want))
+
+
 def blocked_topk(queries: DataFrame, candidates: DataFrame, m: int, exclude_self: bool = True,
-                 key_cols: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                 key_cols: list[str] | None = None, block_rows: int | None = None,
+                 dims: int | None = None) -> DataFrame:
     """Top-``m`` candidates by cosine similarity for every query (ties: smaller id).
 
     ``queries``: (id, vec [, key_cols]); ``candidates``: (id, vec [, key_cols]).
@@ -116,7 +126,9 @@ def blocked_topk(queries: DataFrame, candidates: DataFrame, m: int, exclude_self
     Output: (query_id, email_id, similarity, rank) with rank 1..m.
     """
     keys = key_cols or []
+    par = queries.sparkSession.sparkContext.defaultParallelism
     if keys:
+        block_rows = block_rows or BLOCK_ROWS
         # blocks per key from per-key sizes: one row per key (bounded by the key space)
         qn = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_qn"))
         cn = candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cn"))
@@ -127,7 +139,12 @@ def blocked_topk(queries: DataFrame, candidates: DataFrame, m: int, exclude_self
         c = candidates.join(sizes, keys)
         qb_n, cb_n = F.col("_qb_n"), F.col("_cb_n")
     else:
-        qbn, cbn = _blocks(queries.count(), block_rows), _blocks(candidates.count(), block_rows)
+        nq, nc = queries.count(), candidates.count()
+        if block_rows is None:
+            d = dims or (candidates.select(F.size("vec")).first() or [BLOCK_ROWS])[0]
+            qbn, cbn = _blocks(nq, block_rows_for(nq, d, par)), _blocks(nc, block_rows_for(nc, d, par))
+        else:
+            qbn, cbn = _blocks(nq, block_rows), _blocks(nc, block_rows)
         q, c = queries, candidates
         qb_n, cb_n = F.lit(qbn), F.lit(cbn)
     # fresh aliases: both sides may come from the same frame (self search)
