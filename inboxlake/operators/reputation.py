@@ -120,6 +120,13 @@ def sender_stats(folded: DataFrame) -> DataFrame:
             .join(recent_actions_nested(recent_actions(folded)), "sender_email"))
 
 
+def context_stats(folded: DataFrame) -> DataFrame:
+    """What a prompt needs per sender (C7): count and the two modes -- no maps, no recent list."""
+    n = folded.groupBy("sender_email").agg(F.count(F.lit(1)).alias("email_count"))
+    return (n.join(mode(histogram(folded, "category"), "most_common_category"), "sender_email")
+            .join(mode(histogram(folded, "action"), "most_common_action"), "sender_email"))
+
+
 def snapshot(folded: DataFrame) -> DataFrame:
     """The contribution a result folded in, keyed by result id."""
     return folded.select("triage_id", F.struct(
