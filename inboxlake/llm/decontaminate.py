@@ -8,7 +8,7 @@ all words confirms an occurrence.
 
 from __future__ import annotations
 
-import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -108,15 +108,16 @@ def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """Per row of ``docs`` (doc_id, text): doc_id, n_words, spans of hit words (start, end after the last; maximal
+    runs), items (ids that occur, as strings in order).
 
     ``items``: item_id, text.  The windows are cut and made distinct in Spark, then taken in hash blocks of about
     ``block_pairs`` (window, item) pairs: each block is read, broadcast and searched by itself, so the size of a
     broadcast doesn't grow with the benchmark.  Texts aren't shuffled; a task holds one Arrow batch.
 
-    Null or wordless texts: no words, no hits, the digest of the empty list.  An item without words has no window.
-    Windows of an item whose id is null mark words but aren't counted as an item.  Items repeated with one id count
-    once.  Repeated documents give a row each.  Empty tables: no rows, or no hits.  Other columns are ignored.
+    Null or wordless texts: no words, no hits, no items.  An item without words has no window.  Windows of an item
+    whose id is null mark words but aren't listed as an item.  Items repeated with one id count once.  Repeated
+    documents give a row each.  Empty tables: no rows, or no hits.  Other columns are ignored.
     """
     spark = docs.sparkSession
     pairs = common.stored(windows(items, window), "windows")
@@ -140,22 +141,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
                         for start, ids in table.find(text):
                             hit[start:start + table.length] = mark
                             seen.update(ids)
-            names = [sorted(str(i) for i in seen if i is not None) for seen in found]
-            n_hit = [h.count(1) for h in hits]
+            spans = [[{"start": m.start(), "end": m.end()} for m in re.finditer(b"\1+", h)] for h in hits]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(n_hit, pa.int64()),
-                 pa.array([len(n) for n in names], pa.int64()),
-                 pa.array([hashlib.sha256(",".join(n).encode()).hexdigest() for n in names], pa.string()),
-                 pa.array([n > 0 for n in n_hit], pa.bool_())],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                [batch.column(0), pa.array([len(t) for t in texts], pa.int64()),
+                 pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                 pa.array([sorted(str(i) for i in seen if i is not None) for seen in found], pa.list_(pa.string()))],
+                ["doc_id", "n_words", "spans", "items"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(
-        search, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+        search, "doc_id long, n_words long, spans array<struct<start int, end int>>, items array<string>")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
-    return decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    found = decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+                        (F.size("spans") > 0).alias("contaminated"))
 
 
 _SQL_WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
