@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .packing import op5_packing
+from .quality import op2_quality_pu
 from .sharding import op8_kd_sharding
 from .simhash import op3_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_simhash, op5_packing, op8_kd_sharding)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality_pu, op3_simhash, op5_packing, op8_kd_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -45,10 +45,8 @@ def describe(docs: DataFrame) -> DataFrame:
 def _widest(rows: DataFrame, dims: list[str]) -> DataFrame:
     """node, dim: per node the dimension whose range is the largest share of the whole table's range."""
     spans = rows.groupBy("node").agg(*[(F.max(d) - F.min(d)).cast("double").alias(d) for d in dims])
-    whole = rows.agg(*[F.greatest(F.max(d) - F.min(d), F.lit(1)).cast("double").alias(f"w_{d}") for d in dims])
-    # one row for the table, at most SHARDS rows for the nodes
-    shares = spans.join(F.broadcast(whole), F.lit(True)).select(
-        "node", *[(F.col(d) / F.col(f"w_{d}")).alias(d) for d in dims])
+    whole = rows.agg(*[F.greatest(F.max(d) - F.min(d), F.lit(1)).cast("double").alias(d) for d in dims]).first()
+    shares = spans.select("node", *[(F.col(d) / whole[d]).alias(d) for d in dims] if whole[0] else [*dims])
     best = F.greatest(*dims)
     pick = F.lit(len(dims) - 1)
     for i in reversed(range(len(dims) - 1)):
