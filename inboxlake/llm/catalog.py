@@ -11,11 +11,12 @@ from .packing import op5_packing
 from .quality import op2_quality_pu
 from .sharding import op8_kd_sharding
 from .simhash import op3_simhash
+from .warc import OP7_SQL, op7_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality_pu, op3_simhash, op5_packing, op8_kd_sharding)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality_pu, op3_simhash, op5_packing, op7_warc, op8_kd_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op7_warc": OP7_SQL}
