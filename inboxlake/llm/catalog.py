@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .packing import op5_packing
 from .quality import op2_quality_pu
+from .secrets import op6_secrets
 from .sharding import op8_kd_sharding
 from .simhash import op3_simhash
 from .warc import OP7_SQL, op7_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality_pu, op3_simhash, op5_packing, op7_warc, op8_kd_sharding)}
+    found = (op1_decontaminate, op2_quality_pu, op3_simhash, op5_packing, op6_secrets, op7_warc, op8_kd_sharding)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
