@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .embedding_dedup import op4_embedding_dedup
 from .packing import op5_packing
 from .quality import op2_quality_pu
 from .secrets import op6_secrets
@@ -16,7 +17,7 @@ from .warc import OP7_SQL, op7_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontaminate, op2_quality_pu, op3_simhash, op5_packing, op6_secrets, op7_warc, op8_kd_sharding)
+    found = (op1_decontaminate, op2_quality_pu, op3_simhash, op4_embedding_dedup, op5_packing, op6_secrets, op7_warc, op8_kd_sharding)
     return {f.__name__: f for f in found}
 
 
