@@ -107,19 +107,13 @@ def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
             .mapInArrow(cut, "window binary, item_id long").distinct())
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_words, spans of hit words (start, end after the last; maximal
-    runs), items (ids that occur, as strings in order).
+def search_blocks(items: DataFrame, window: int = WINDOW, block_pairs: int = BLOCK_PAIRS) -> list[_Block]:
+    """The windows of ``items`` (item_id, text) as broadcast blocks of about ``block_pairs`` (window, item) pairs.
 
-    ``items``: item_id, text.  The windows are cut and made distinct in Spark, then taken in hash blocks of about
-    ``block_pairs`` (window, item) pairs: each block is read, broadcast and searched by itself, so the size of a
-    broadcast doesn't grow with the benchmark.  Texts aren't shuffled; a task holds one Arrow batch.
-
-    Null or wordless texts: no words, no hits, no items.  An item without words has no window.  Windows of an item
-    whose id is null mark words but aren't listed as an item.  Items repeated with one id count once.  Repeated
-    documents give a row each.  Empty tables: no rows, or no hits.  Other columns are ignored.
+    The windows are cut and made distinct in Spark; the driver reads one hash block at a time, so what it holds and
+    the size of a broadcast don't grow with the benchmark.
     """
-    spark = docs.sparkSession
+    spark = items.sparkSession
     pairs = common.stored(windows(items, window), "windows")
     n_blocks = max(1, -(-pairs.count() // block_pairs))
     block_of = F.pmod(F.xxhash64("window", "item_id"), F.lit(n_blocks))
@@ -128,19 +122,39 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
         rows = [(bytes(r[0]), r[1]) for r in pairs.where(block_of == i).toLocalIterator()]
         if rows:
             blocks.append(_Block(uuid.uuid4().hex, spark.sparkContext.broadcast(rows)))
+    return blocks
+
+
+def _search(texts: list[tuple[bytes, ...]], blocks: list[_Block]) -> tuple[list[bytearray], list[set]]:
+    """Per text the marks of its hit words and the items found; one block's tables are held at a time."""
+    hits = [bytearray(len(t)) for t in texts]
+    found: list[set] = [set() for _ in texts]
+    for block in blocks:
+        for table in _tables(block):
+            mark = b"\1" * table.length
+            for text, hit, seen in zip(texts, hits, found):
+                for start, ids in table.find(text):
+                    hit[start:start + table.length] = mark
+                    seen.update(ids)
+    return hits, found
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_words, spans of hit words (start, end after the last; maximal
+    runs), items (ids that occur, as strings in order).
+
+    ``items``: item_id, text.  Texts aren't shuffled; a task holds one Arrow batch.
+
+    Null or wordless texts: no words, no hits, no items.  An item without words has no window.  Windows of an item
+    whose id is null mark words but aren't listed as an item.  Items repeated with one id count once.  Repeated
+    documents give a row each.  Empty tables: no rows, or no hits.  Other columns are ignored.
+    """
+    blocks = search_blocks(items, window, block_pairs)
 
     def search(batches):
         for batch in batches:
             texts = [words(t) for t in batch.column(1).to_pylist()]
-            hits = [bytearray(len(t)) for t in texts]
-            found: list[set] = [set() for _ in texts]
-            for block in blocks:
-                for table in _tables(block):
-                    mark = b"\1" * table.length
-                    for text, hit, seen in zip(texts, hits, found):
-                        for start, ids in table.find(text):
-                            hit[start:start + table.length] = mark
-                            seen.update(ids)
+            hits, found = _search(texts, blocks)
             spans = [[{"start": m.start(), "end": m.end()} for m in re.finditer(b"\1+", h)] for h in hits]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(t) for t in texts], pa.int64()),
@@ -152,6 +166,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
         search, "doc_id long, n_words long, spans array<struct<start int, end int>>, items array<string>")
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` in whose text no window of ``items`` occurs, with all their columns and no shuffle."""
+    blocks = search_blocks(items, window)
+    at = docs.columns.index("text")
+
+    def clean(batches):
+        for batch in batches:
+            texts = [words(t.encode() if t is not None else None) for t in batch.column(at).to_pylist()]
+            hits, _ = _search(texts, blocks)
+            yield batch.filter(pa.array([1 not in h for h in hits], pa.bool_()))
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     found = decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))

@@ -143,6 +143,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int
          & F.col("text_key").eqNullSafe(F.col("first.text_key"))).alias("kept"))
 
 
+def keep_firsts(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of ``docs`` per group of near duplicates, with all its columns: the first by doc_id and text; of rows
+    equal in both any one."""
+    found = near_duplicates(docs, shingle, max_bits).where("kept")
+    kept = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__kept_key")).distinct()
+    keyed = docs.withColumn("__key", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("__key").eqNullSafe(F.col("__kept_key"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: fingerprint and component."""
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
