@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import shared_path, ship_package
 
 #: Rows that one task of a gapless rank sorts, on average.
-RANK_ROWS = 50_000
+RANK_ROWS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -189,10 +189,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, round_pieces: int = ROUND_PIE
     rows, full = int(counts.sum()), int(counts[capacity])
     counts[capacity] = 0
     rounds, slots = plan(counts, capacity, round_pieces)
-    rounds_df = spark.createDataFrame(pd.DataFrame(rounds, columns=["__k", "length", "__first", "__last", "__copies"],
-                                                   dtype="int64"))
-    slots_df = spark.createDataFrame(pd.DataFrame(slots, columns=["__k", "length", "__slot", "__seq", "offset"],
-                                                  dtype="int64"))
+    rounds_df = spark.createDataFrame(pd.DataFrame(rounds, columns=["__k", "length", "__first", "__last", "__copies"]),
+                                      "__k long, length long, __first long, __last long, __copies long")
+    slots_df = spark.createDataFrame(pd.DataFrame(slots, columns=["__k", "length", "__slot", "__seq", "offset"]),
+                                     "__k long, length long, __slot long, __seq long, offset long")
     ranked = common.gapless_rank(cut, ["length"], ["doc_id", "piece", "start", "ids_crc32"], rows, "__r")
     whole = (ranked.where(F.col("length") == capacity)
              .withColumn("sequence_id", -F.col("__r") - 1).withColumn("offset", F.lit(0).cast("long")))
