@@ -64,7 +64,9 @@ def new_proposed_categories(responses: DataFrame, categories: DataFrame) -> Data
 
 def resolve_category(responses: DataFrame, categories: DataFrame) -> DataFrame:
     """C1 + P12 + P15: matched id wins (unknown id -> none); else the proposal by
-    name, reusing an existing row of any status or a newly created pending row."""
+    name, reusing an existing row of any status or a newly created pending row.
+    ``resolved_id`` is that category's id whatever its status; a proposal's name
+    is recorded only where the category is pending, and only from the proposal."""
     created = new_proposed_categories(responses, categories).select(
         "name", F.lit(None).cast("int").alias("id"), "status", F.lit(None).cast("int").alias("confidence_threshold"))
     by_name = categories.select("name", "id", "status", "confidence_threshold").unionByName(created)
@@ -81,8 +83,8 @@ def resolve_category(responses: DataFrame, categories: DataFrame) -> DataFrame:
     cid = F.when(matched, F.col("m_id")).otherwise(F.col("p_id"))
     return j.select(
         "id", name.alias("resolved_name"), status.alias("resolved_status"),
-        F.when(status == "active", cid).alias("category_id"),
-        F.when(status == "pending_review", name).alias("proposed_category_name"),
+        cid.alias("resolved_id"), F.when(status == "active", cid).alias("category_id"),
+        F.when(status == "pending_review", F.col("proposal.name")).alias("proposed_category_name"),
         route_status(name, status, thr, F.col("confidence")).alias("routed_status"),
     )
 

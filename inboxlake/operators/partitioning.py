@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin repartition only when ``df`` has fewer partitions than the
-    cluster can run at once (small inputs with few row groups before a
-    CPU-heavy stage).  Large inputs already have far more splits than cores
-    and pass through unchanged, so no shuffle is added at scale.
+    """Round-robin repartition only when ``df`` reads fewer files than the
+    cluster runs tasks at once (few row groups before a CPU-heavy stage).
+    Inputs of many files pass through unchanged, so no shuffle is added at
+    scale.  Only the plan's file list is looked at: no job runs for it.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
-        return df.repartition(target)
-    return df
+    parallel = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parallel * factor) if len(df.inputFiles()) < parallel else df

@@ -98,23 +98,23 @@ def detect_spans(text: str | None, recognizers=DEFAULT_RECOGNIZERS, entities=Non
     return out
 
 
-def _detect_series(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: detect_spans(t))
+def _detector(recognizers, entities, threshold):
+    """Arrow UDF over exactly these recognisers, entity types and score threshold."""
+    def spans(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: detect_spans(t, recognizers, entities, threshold))
+    return F.pandas_udf(spans, SPAN_TYPE)
 
 
-_UDF = {}
-
-
-def detect(text: Column, recognizers=DEFAULT_RECOGNIZERS) -> Column:
+def detect(text: Column, recognizers=DEFAULT_RECOGNIZERS, entities=None,
+           threshold: float = DEFAULT_THRESHOLD) -> Column:
     """T1 as a column: ``array<struct<entity_type,start,end,score>>`` (empty for blank text).
 
     Only texts passing a recogniser's hint (e.g. a digit or '@') are sent to
     Python; the others travel as null and come back as an empty list.
     """
-    if "detect" not in _UDF:
-        _UDF["detect"] = F.pandas_udf(_detect_series, SPAN_TYPE)
+    find = _detector(list(recognizers), list(entities) if entities else None, threshold)
     hint = "|".join(sorted({r.hint for r in recognizers}))
-    return F.coalesce(_UDF["detect"](F.when(text.rlike(hint), text)), F.array().cast(SPAN_TYPE))
+    return F.coalesce(find(F.when(text.rlike(hint), text)), F.array().cast(SPAN_TYPE))
 
 
 def _sorted_desc(spans: Column) -> Column:
@@ -233,8 +233,8 @@ def decrypt(col: Column, key: str) -> Column:
 
 
 def session_key(spark) -> str:
-    """The encryption key comes from the session (``inboxlake.crypto.key``), never from data."""
+    """The encryption key comes from the session (``inboxlake.crypto.key``), never from data or source."""
     k = spark.conf.get("inboxlake.crypto.key", None)
     if not k:
-        k = "inboxlake-local-test-key-32bytes"[:32]
+        raise ValueError("set inboxlake.crypto.key in the session before encrypting")
     return k

@@ -30,15 +30,17 @@ def _responses(fx):
     return r.withColumn("proposal", cats.proposal(F.col("proposal_name"), F.col("proposal_reasoning")))
 
 
+_PROPOSED = "trim(coalesce(r.proposal_name, '')) <> '' AND trim(coalesce(r.proposal_reasoning, '')) <> ''"
 _HAS_PROP = ("matched_category_id IS NULL AND trim(coalesce(proposal_name, '')) <> '' "
              "AND trim(coalesce(proposal_reasoning, '')) <> ''")
 
 
 @query("resolve_category", oracle=f"""SELECT id, name AS resolved_name, status AS resolved_status,
-  CASE WHEN status = 'active' THEN cid END AS category_id,
-  CASE WHEN status = 'pending_review' THEN name END AS proposed_category_name,
+  cid AS resolved_id, CASE WHEN status = 'active' THEN cid END AS category_id,
+  CASE WHEN status = 'pending_review' THEN proposed END AS proposed_category_name,
   {_ROUTE_SQL.format(cid='name', st='status', conf='confidence', thr='thr')} AS routed_status
 FROM (SELECT r.id, r.confidence,
+        CASE WHEN {_PROPOSED} THEN r.proposal_name END AS proposed,
         CASE WHEN r.matched_category_id IS NOT NULL THEN m.name WHEN {_HAS_PROP.replace('matched', 'r.matched')} THEN r.proposal_name END AS name,
         CASE WHEN r.matched_category_id IS NOT NULL THEN m.status WHEN {_HAS_PROP.replace('matched', 'r.matched')} THEN coalesce(p.status, 'pending_review') END AS status,
         CASE WHEN r.matched_category_id IS NOT NULL THEN m.confidence_threshold ELSE p.confidence_threshold END AS thr,

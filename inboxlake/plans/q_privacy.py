@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import functions as F
 
 from ..operators import privacy as pv
@@ -50,6 +52,8 @@ def pii_mapping_counts(fx):
 @query("encrypt_roundtrip", oracle="""SELECT doc_id, md5(text) AS text_md5, strlen(text) + 28 AS n_bytes FROM documents""")
 def encrypt_roundtrip(fx):
     """AES-GCM encrypt every document, decrypt, and compare (IV 12 + tag 16 bytes)."""
+    if not fx.spark.conf.get("inboxlake.crypto.key", None):  # nothing is kept: a key for this run will do
+        fx.spark.conf.set("inboxlake.crypto.key", secrets.token_hex(16))
     key = pv.session_key(fx.spark)
     enc = fx.t.documents.select("doc_id", pv.encrypt(F.col("text"), key).alias("enc"))
     return enc.select("doc_id", F.md5(pv.decrypt(F.col("enc"), key)).alias("text_md5"),

@@ -1,27 +1,43 @@
 """Exactly-once ingest across overlapping polls (ST1, ST2, S4 streaming form).
 
 Polls overlap (a cursor window re-reads recent messages), so the same message
-arrives more than once.  ``dropDuplicatesWithinWatermark`` keeps the first
-arrival per key and evicts its state once the event-time watermark passes
-the overlap bound, so state stays bounded; the file sink plus checkpoint
-make the output exactly-once across restarts.
+arrives more than once, and a first delivery may arrive however late.  Every
+micro-batch is reduced to one row per key and anti-joined with the keys of
+the earlier batches (insert if absent), then written to its own batch folder.
+A replayed batch overwrites that folder with the same rows, so the sink holds
+every key once across failures and restarts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .runner import fresh_paths, run_available_now
 
 
-def dedup_stream(spark: SparkSession, source_path: str, schema, key: str, event_time: str,
-                 overlap: str = "3 days", files_per_trigger: int = 1) -> DataFrame:
-    """Stream the landed files, drop re-deliveries by ``key``, append to a parquet sink; return the sink."""
-    sink, ckpt = fresh_paths(spark, "dedup")
+def dedup_stream(spark: SparkSession, source_path: str, schema, key: str, files_per_trigger: int = 1,
+                 sink: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Stream the landed files, insert rows whose ``key`` is absent, return the sink.
+
+    ``sink`` and ``checkpoint`` belong to the caller: called again with the
+    same two, the stream goes on where it stopped.  Without them a run gets
+    new ones.
+    """
+    if sink is None or checkpoint is None:
+        sink, checkpoint = fresh_paths(spark, "dedup")
+    stored = StructType([*schema.fields, StructField("batch", LongType())])
+
+    def insert_absent(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.dropDuplicates([key])
+        if batch_id > 0:
+            known = (batch.sparkSession.read.schema(stored).parquet(sink)
+                     .where(F.col("batch") < batch_id).select(key))
+            fresh = fresh.join(known, key, "left_anti").select(*schema.names)
+        fresh.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-              .parquet(source_path)
-              .withWatermark(event_time, overlap)
-              .dropDuplicatesWithinWatermark([key]))
-    run_available_now(stream.writeStream.format("parquet").option("path", sink)
-                      .option("checkpointLocation", ckpt).outputMode("append"))
-    return spark.read.schema(schema).parquet(sink)
+              .parquet(source_path))
+    run_available_now(stream.writeStream.foreachBatch(insert_absent).option("checkpointLocation", checkpoint))
+    return spark.read.schema(stored).parquet(sink).drop("batch")
