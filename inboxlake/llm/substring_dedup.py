@@ -20,11 +20,11 @@ WINDOW = 20
 #: Words of the runs whose smallest hash names a window's bucket.
 RUN = 8
 #: Text bytes per bucket, about, and the fewest buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 24 << 20, 64
+BUCKET_BYTES, LEAST_BUCKETS = 24 << 20, 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _HASH_BYTES = 7
 #: Text bytes that a task hashes at a time.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
