@@ -8,6 +8,7 @@ pointer is switched last, so readers never see a half-written table.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,14 +69,16 @@ def publish(spark: SparkSession, df: DataFrame, table: str, partition_by: list[s
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    # pointer = a one-row table (works on any Hadoop-compatible filesystem)
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{base}/_CURRENT")
+    # pointers are only ever added, so a reader sees the last one or the one before, never none
+    (spark.createDataFrame([(version, time.time_ns())], "version string, published_at long").coalesce(1)
+     .write.mode("append").json(f"{base}/_CURRENT"))
     return path
 
 
 def read_current(spark: SparkSession, table: str) -> DataFrame:
     base = shared_path(spark, "tables", table)
-    version = spark.read.json(f"{base}/_CURRENT").first()["version"]
+    pointers = spark.read.schema("version string, published_at long").json(f"{base}/_CURRENT")
+    version = pointers.agg(F.max_by("version", "published_at")).first()[0]
     return spark.read.parquet(f"{base}/{version}")
 
 
