@@ -179,13 +179,10 @@ def apply_commands(categories: DataFrame, commands: DataFrame, system_flag: Colu
     return cur.unionByName(creates)
 
 
-def prompt_options(categories: DataFrame) -> DataFrame:
-    """Active (id, name, description) options ordered by name, as one array row.
-
-    The taxonomy is small by construction (it is shown to a model in one prompt).
-    """
-    act = categories.where(F.col("status") == "active")
-    return act.agg(F.array_sort(F.collect_list(F.struct("name", "id", "description"))).alias("options"))
+def ranked_options(categories: DataFrame) -> DataFrame:
+    """Active (id, name, description) options with their position by name."""
+    pos = F.row_number().over(Window.orderBy("name", "id")).cast("bigint")
+    return categories.where(F.col("status") == "active").select("id", "name", "description", pos.alias("pos"))
 
 
 def hierarchy(categories: DataFrame) -> DataFrame:
@@ -194,7 +191,3 @@ def hierarchy(categories: DataFrame) -> DataFrame:
     m = categories.select(F.col("id").alias("_mid"), F.col("name").alias("merged_into_name"))
     return (categories.join(p, categories["parent_category_id"] == p["_pid"], "left")
             .join(m, categories["merged_into_id"] == m["_mid"], "left").drop("_pid", "_mid"))
-
-
-def ranked(df: DataFrame, part: str, order: list[Column]) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(part).orderBy(*order)))

@@ -80,13 +80,14 @@ def dashboard_stats(spark: SparkSession, emails: DataFrame, triage: DataFrame,
                 .join(actions.select("email_id"), "email_id", "left_anti"))
     tri = triage.agg(F.count_if(F.col("status") == "needs_review").alias("n"),
                      F.count_if(F.col("status") == "auto_filed").alias("a"))
+    mail = live.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pipeline_status") == "failed").alias("f"))
     return spark.range(1).select(
         tri.select("n").scalar().alias("needs_review_count"),
         tri.select("a").scalar().alias("auto_filed_count"),
-        live.select(F.count(F.lit(1))).scalar().alias("total_emails"),
+        mail.select("n").scalar().alias("total_emails"),
         categories.select(F.count_if(F.col("status") == "pending_review")).scalar().alias("pending_categories"),
         critical.select(F.count(F.lit(1))).scalar().alias("critical_urgency_count"),
-        live.select(F.count_if(F.col("pipeline_status") == "failed")).scalar().alias("failed_pipeline_count"),
+        mail.select("f").scalar().alias("failed_pipeline_count"),
     )
 
 

@@ -91,6 +91,8 @@ def search_all_terms(index: DataFrame, queries: DataFrame, doc_key: str = "doc_i
     ``index``: distinct (doc_key, term); ``queries``: distinct (query_key, term).
     A query without terms (only stop words) matches nothing.
     """
+    # only postings of terms that some query asks for leave the scan
+    index = index.join(queries.select("term").distinct(), "term", "left_semi")
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     qt = queries.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     per_q = qt.groupBy(query_key).agg(F.min_by("term", F.struct("df", "term")).alias("pivot"),

@@ -173,7 +173,5 @@ def approve_and_correct(fx):
 FROM commanded_v WHERE status = 'active'""")
 def category_options(fx):
     """Active options for the prompt, by name, from the taxonomy the
-    command stream produced (exploded with position)."""
-    opts = cats.prompt_options(_commanded(fx))
-    return opts.select(F.posexplode("options").alias("p", "o")).select(
-        F.col("o.id").alias("id"), F.col("o.name").alias("name"), (F.col("p") + 1).cast("bigint").alias("pos"))
+    command stream produced, with their position."""
+    return cats.ranked_options(_commanded(fx)).select("id", "name", "pos")
