@@ -25,6 +25,8 @@ from ..schemas import ELIGIBLE_EXAMPLE_STATUSES, RAG_LIMIT, RAG_OVERFETCH, UNCAT
 
 BLOCK_BYTES = 64 << 20   # vector bytes per block side held by one cogroup task
 BLOCK_ROWS = 4096        # block rows when the dimension is not known
+LSH_BANDS = 24           # signature bands of K2
+LSH_BITS = 4             # hyperplanes per band: 2^bits buckets
 QUERY_CHUNK = 512        # query rows scored at once inside a block pair (bounds the score matrix)
 PAIR_SCHEMA = "query_id long, email_id long, similarity double"
 
@@ -176,14 +178,16 @@ def similar_examples(neighbours: DataFrame, emails: DataFrame, triage: DataFrame
                      k: int = RAG_LIMIT) -> DataFrame:
     """K1 second half + K3: over-fetched neighbours (3k) -> eligible by *latest*
     status (trashed messages included) -> first k in rank order, with original
-    and current labels.  May return fewer than k per query."""
+    and current labels.  ``emails`` holds (id, anonymized_subject): examples go
+    into prompts, so the raw subject is never read.  May return fewer than k per
+    query."""
     from .latest import latest_per_key
     lt = latest_per_key(triage, "email_id", "id",
                         ["status", "category_id", "llm_category_id", "proposed_category_name", "urgency",
                          "llm_urgency", "suggested_action", "llm_suggested_action"])
     cur = categories.select(F.col("id").alias("_c1"), F.col("name").alias("_n1"))
     org = categories.select(F.col("id").alias("_c2"), F.col("name").alias("_n2"))
-    e = emails.select(F.col("id").alias("email_id"), F.col("subject").alias("anonymized_subject"))
+    e = emails.select(F.col("id").alias("email_id"), "anonymized_subject")
     j = (neighbours.join(e, "email_id")
          .join(lt.where(F.col("status").isin(*ELIGIBLE_EXAMPLE_STATUSES)), "email_id")
          .join(cur, F.col("category_id") == F.col("_c1"), "left")
@@ -235,20 +239,15 @@ def lsh_buckets(vectors: DataFrame, dims: int, bands: int = 8, bits: int = 6, se
                                                    "id long, band long, bucket long")
 
 
-def lsh_bits(n_candidates: int, bucket_rows: int = 64) -> int:
-    """Bits per band so that a bucket holds about ``bucket_rows`` candidates."""
-    return int(min(16, max(3, round(math.log2(max(2, n_candidates) / bucket_rows)))))
-
-
-def approx_topk(queries: DataFrame, candidates: DataFrame, m: int, dims: int, bands: int = 16,
-                bits: int | None = None, seed: int = 17) -> DataFrame:
+def approx_topk(queries: DataFrame, candidates: DataFrame, m: int, dims: int, bands: int = LSH_BANDS,
+                bits: int = LSH_BITS, seed: int = 17) -> DataFrame:
     """K2: exact re-rank of candidates sharing at least one LSH bucket with the query.
 
-    Work per band is about n * bucket size instead of n^2; recall grows with
-    ``bands`` and falls with ``bits`` (measured against K1 in the tests).
+    ``bands`` and ``bits`` are the caller's choice and the same for every table
+    size, so a row's neighbours don't depend on how many others there are.
+    Recall grows with ``bands`` and falls with ``bits`` (measured against K1 by
+    ``knn_lsh_recall``); a band costs about n * n / 2^bits comparisons.
     """
-    if bits is None:
-        bits = lsh_bits(candidates.count())
     qb = lsh_buckets(queries, dims, bands, bits, seed).join(queries, "id")
     cb = lsh_buckets(candidates, dims, bands, bits, seed).join(candidates, "id")
     return blocked_topk(qb, cb, m, exclude_self=True, key_cols=["band", "bucket"])

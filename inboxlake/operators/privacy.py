@@ -180,7 +180,7 @@ def deanonymize(text: Column, mappings: Column) -> Column:
         text, lambda t, m: F.replace(t, F.concat(F.lit("["), m["placeholder"], F.lit("]")), m["original_value"]))
 
 
-def anonymize_columns(emails: DataFrame, parity: bool = False) -> DataFrame:
+def anonymize_columns(emails: DataFrame, parity: bool = False, recognizers=DEFAULT_RECOGNIZERS) -> DataFrame:
     """T4 as one projection: anonymized_subject, anonymized_body and the unique
     ``pii_mappings`` array of every message not anonymized yet (idempotent skip).
 
@@ -189,7 +189,8 @@ def anonymize_columns(emails: DataFrame, parity: bool = False) -> DataFrame:
     subject mappings with the same placeholder (S8), as the reference does.
     """
     todo = emails.where(~F.coalesce(F.col("is_anonymized"), F.lit(False))) if "is_anonymized" in emails.columns else emails
-    d = spread(todo).select("*", detect(F.col("subject")).alias("_ss"), detect(F.col("body")).alias("_bs"))
+    d = spread(todo).select("*", detect(F.col("subject"), recognizers).alias("_ss"),
+                              detect(F.col("body"), recognizers).alias("_bs"))
     blank_s = F.coalesce(php_trim(F.col("subject")), F.lit("")) == ""
     blank_b = F.coalesce(php_trim(F.col("body")), F.lit("")) == ""
     if parity:
@@ -216,9 +217,10 @@ def mapping_rows(anonymized: DataFrame) -> DataFrame:
         F.col("m.score").alias("detection_score"))
 
 
-def anonymize_stage(emails: DataFrame, parity: bool = False) -> tuple[DataFrame, DataFrame]:
+def anonymize_stage(emails: DataFrame, parity: bool = False,
+                    recognizers=DEFAULT_RECOGNIZERS) -> tuple[DataFrame, DataFrame]:
     """T4: (messages with anonymized columns, mapping rows)."""
-    out = anonymize_columns(emails, parity)
+    out = anonymize_columns(emails, parity, recognizers)
     return out.drop("pii_mappings"), mapping_rows(out)
 
 

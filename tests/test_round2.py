@@ -68,7 +68,7 @@ def test_no_key_no_encryption(spark):
 def test_rejected_vectors_do_not_reach_the_kernel(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0])], "query_id long, vec array<double>")
     store = spark.createDataFrame([(7, [1.0, 0.1]), (8, None), (9, [1.0, 2.0, 3.0])], "email_id long, embedding array<double>")
-    emails = spark.createDataFrame([(7, "s")], "id long, subject string")
+    emails = spark.createDataFrame([(7, "s")], "id long, anonymized_subject string")
     triage = spark.createDataFrame(
         [(1, 7, "corrected", 1, 1, None, "low", "low", "none", "none")],
         "id long, email_id long, status string, category_id int, llm_category_id int, proposed_category_name string, "
