@@ -54,10 +54,13 @@ def sender_mode(fx):
             .join(rep.mode(rep.histogram(f, "action"), "most_common_action"), "sender_email"))
 
 
-@query("sender_recent_actions", oracle="""SELECT sender_email, pos, action, category,
+RECENT_SQL = """SELECT sender_email, pos, action, category,
   strftime(at_ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS "at"
 FROM (SELECT *, row_number() OVER (PARTITION BY sender_email ORDER BY created_at DESC, id DESC) AS pos FROM folded_v)
-WHERE pos <= 10""")
+WHERE pos <= 10"""
+
+
+@query("sender_recent_actions", oracle=RECENT_SQL)
 def sender_recent_actions(fx):
     """Ten newest (action, category, at) per sender, exploded with position."""
     return rep.recent_actions(_folded(fx)).withColumn("pos", F.col("pos").cast("bigint"))
@@ -153,7 +156,8 @@ LEFT JOIN ({_MODE_SQL}) m ON m.sender_email = e.sender_email
 WHERE e.deleted_at IS NULL""")
 def sender_summary(fx):
     """Reputation context for every alive message."""
-    stats = rep.sender_stats(_folded(fx)).select(
+    f = _folded(fx)
+    stats = rep.rebuild_scalars(f).join(rep.context_stats(f).drop("email_count"), "sender_email").select(
         "sender_email", "email_count", "most_common_category", "most_common_action",
         _r6("avg_urgency_score"), _r6("avg_confidence"))
     msgs = fx.emails.where(F.col("deleted_at").isNull()).select("id", "sender_email")

@@ -1,13 +1,14 @@
 """Rolling sender statistics with retraction (ST5, A8-A10 on a stream).
 
-A stream of triage results is keyed by a hash bucket of the message id.
-``applyInPandasWithState`` keeps, per bucket, the snapshot each of its
-messages last folded in (state store, partitioned across executors).  A newer result for the message emits a
-retraction of the old snapshot and the new contribution; an older or
-repeated one emits nothing.  The emitted signed deltas go to an append-only
-parquet log (exactly-once with the checkpoint); sender statistics are sums
-over that log per sender / (sender, label) -- associative, so a hot sender
-is pre-aggregated in every map task.  fold + revisions == rebuild.
+A stream of triage results is keyed by message.  ``applyInPandasWithState``
+keeps one small state row per message: the snapshot it last folded in.  So a
+micro-batch loads and rewrites only the rows of its own messages, however many
+are stored.  A newer result emits a retraction of the old snapshot and the new
+contribution; an older or repeated one emits nothing.  The emitted signed
+deltas go to an append-only parquet log (exactly-once with the checkpoint);
+sender statistics are sums over that log per sender / (sender, label) --
+associative, so a hot sender is pre-aggregated in every map task.
+fold + revisions == rebuild.
 """
 
 from __future__ import annotations
@@ -15,70 +16,61 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.latest import latest_per_key
+from ..operators.reputation import iso8601
+from ..schemas import RECENT_ACTIONS_LIMIT
 from .runner import fresh_paths, run_available_now
 
-DELTA_SCHEMA = ("email_id long, triage_id long, sender_email string, category string, action string, "
-                "urgency_weight long, confidence long, new_email long, sign long")
-SNAP_COLS = ["email_id", "triage_id", "sender_email", "category", "action", "urgency_weight", "confidence"]
-# state per bucket: the snapshots of its messages, column-wise
-STATE_SCHEMA = ("email_id array<long>, triage_id array<long>, sender_email array<string>, category array<string>, "
-                "action array<string>, urgency_weight array<long>, confidence array<long>")
+# what a message folds in; times are microseconds since the epoch (seen_at: its arrival, at: its result)
+SNAP_SCHEMA = ("triage_id long, sender_email string, category string, action string, urgency_weight long, "
+               "confidence long, seen_at long, at long")
+SNAP_COLS = [c.split()[0] for c in SNAP_SCHEMA.split(", ")]
+DELTA_SCHEMA = f"email_id long, {SNAP_SCHEMA}, new_email long, sign long"
 _OUT_COLS = [c.split()[0] for c in DELTA_SCHEMA.split(", ")]
-STATE_BUCKETS = 256
+_WEIGHT, _CONFIDENCE = SNAP_COLS.index("urgency_weight"), SNAP_COLS.index("confidence")
+
+
+def _retraction(snap: tuple) -> tuple:
+    return tuple(-v if i in (_WEIGHT, _CONFIDENCE) else v for i, v in enumerate(snap))
 
 
 def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold one bucket's new results into its messages' snapshots, vectorised.
+    """Fold one message's new results into its snapshot.
 
-    The newest result per message wins; a message whose stored snapshot is
-    newer or equal emits nothing; otherwise the old snapshot is retracted
-    (sign -1) and the new one added (sign +1, new_email = 1 if first seen).
+    The newest result wins; if the stored snapshot is newer or equal nothing is
+    emitted; otherwise the old one is retracted (sign -1) and the new one added
+    (sign +1, new_email = 1 if first seen).
     """
-    parts = [p for p in pdfs if len(p)]
-    if not parts:
+    best = None
+    for p in pdfs:
+        if len(p):
+            row = p.iloc[int(p["triage_id"].to_numpy().argmax())]
+            if best is None or row["triage_id"] > best["triage_id"]:
+                best = row
+    if best is None:
         return
-    rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-    new = rows.sort_values("triage_id").drop_duplicates("email_id", keep="last")[SNAP_COLS]
-    if state.exists:
-        old = pd.DataFrame(dict(zip(SNAP_COLS, state.get)))
-    else:
-        old = pd.DataFrame({c: pd.Series([], dtype=new[c].dtype) for c in SNAP_COLS})
-    m = new.merge(old, on="email_id", how="left", suffixes=("", "_old"))
-    has_old = m["triage_id_old"].notna()
-    win = m[~has_old | (m["triage_id"] > m["triage_id_old"].fillna(-1))]
-    if win.empty:
+    new = tuple(best[c].item() if hasattr(best[c], "item") else best[c] for c in SNAP_COLS)
+    old = tuple(state.get) if state.exists else None
+    if old is not None and old[0] >= new[0]:
         return
-    add = win[SNAP_COLS].assign(new_email=(~win["triage_id_old"].notna()).astype("int64"), sign=1)
-    ret = win[win["triage_id_old"].notna()]
-    sub = pd.DataFrame({
-        "email_id": ret["email_id"], "triage_id": ret["triage_id_old"].astype("int64"),
-        "sender_email": ret["sender_email_old"], "category": ret["category_old"], "action": ret["action_old"],
-        "urgency_weight": -ret["urgency_weight_old"].astype("int64"), "confidence": -ret["confidence_old"].astype("int64"),
-        "new_email": 0, "sign": -1})
-    kept = pd.concat([old[~old["email_id"].isin(win["email_id"])], win[SNAP_COLS]], ignore_index=True)
-    state.update(tuple(kept[c].tolist() for c in SNAP_COLS))
-    out = pd.concat([sub, add], ignore_index=True)[_OUT_COLS]
-    yield out.astype({"email_id": "int64", "triage_id": "int64", "urgency_weight": "int64", "confidence": "int64",
-                      "new_email": "int64", "sign": "int64"})
-
-
-def fold_stream(spark: SparkSession, source_path: str, schema, buckets: int = STATE_BUCKETS) -> DataFrame:
-    """Run the result stream (email_id, triage_id, sender_email, category, action,
-    urgency_weight, confidence) to completion; return the delta log.
-
-    State is keyed by ``pmod(xxhash64(email_id), buckets)``: each key holds its
-    messages' snapshots, so Python is called once per touched bucket per
-    micro-batch instead of once per message (size ``buckets`` to the message count).
-    """
+    state.update(new)
+    out = [] if old is None else [(key[0], *_retraction(old), 0, -1)]
+    out.append((key[0], *new, int(old is None), 1))
+    yield pd.DataFrame(out, columns=_OUT_COLS)
+
+
+def fold_stream(spark: SparkSession, source_path: str, schema) -> DataFrame:
+    """Run the result stream (email_id and the columns of ``SNAP_SCHEMA``) to completion; return the delta log."""
     sink, ckpt = fresh_paths(spark, "sender_deltas")
+    numbers = ("urgency_weight", "confidence")  # a null adds nothing to a sum
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_path)
-              .select(*SNAP_COLS).withColumn("bucket", F.pmod(F.xxhash64("email_id"), F.lit(buckets))))
-    deltas = stream.groupBy("bucket").applyInPandasWithState(
-        _fold, DELTA_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+              .select("email_id", *[F.coalesce(c, F.lit(0)).alias(c) if c in numbers else F.col(c) for c in SNAP_COLS]))
+    deltas = stream.groupBy("email_id").applyInPandasWithState(
+        _fold, DELTA_SCHEMA, SNAP_SCHEMA, "append", GroupStateTimeout.NoTimeout)
     run_available_now(deltas.writeStream.format("parquet").option("path", sink)
                       .option("checkpointLocation", ckpt).outputMode("append"))
     return spark.read.schema(DELTA_SCHEMA).parquet(sink)
@@ -88,10 +80,20 @@ def stats_from_deltas(deltas: DataFrame) -> DataFrame:
     """Sender scalars from the delta log (A7 as sums; averages derived)."""
     s = deltas.groupBy("sender_email").agg(
         F.sum("new_email").alias("email_count"), F.sum("urgency_weight").alias("urgency_sum"),
-        F.sum("confidence").alias("confidence_sum"))
+        F.sum("confidence").alias("confidence_sum"), F.max("seen_at").alias("seen_at"))
     return s.select("sender_email", "email_count",
                     (F.col("urgency_sum") / F.col("email_count")).alias("avg_urgency_score"),
-                    (F.col("confidence_sum") / F.col("email_count")).alias("avg_confidence"))
+                    (F.col("confidence_sum") / F.col("email_count")).alias("avg_confidence"),
+                    F.timestamp_micros("seen_at").alias("last_seen_at"))
+
+
+def recent_from_deltas(deltas: DataFrame, n: int = RECENT_ACTIONS_LIMIT) -> DataFrame:
+    """Newest ``n`` (action, category, at) per sender (A12): each message's last contribution, newest message first."""
+    cur = latest_per_key(deltas.where(F.col("sign") == 1), "email_id", "triage_id",
+                         ["sender_email", "action", "category", "seen_at", "at"])
+    w = Window.partitionBy("sender_email").orderBy(F.col("seen_at").desc(), F.col("email_id").desc())
+    return (cur.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n)
+            .select("sender_email", "pos", "action", "category", iso8601(F.timestamp_micros("at")).alias("at")))
 
 
 def histograms_from_deltas(deltas: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""ST5 fold semantics per bucket: newest result wins, retractions balance, older arrivals are ignored."""
+"""ST5 fold semantics per message: newest result wins, retractions balance, older arrivals are ignored."""
 
 import pandas as pd
 
@@ -25,19 +25,27 @@ def rows(*r):
     return pd.DataFrame(list(r), columns=SNAP_COLS)
 
 
-def run(state, *r):
-    out = list(_fold((0,), iter([rows(*r)]), state))
+def run(state, email_id, *r):
+    out = list(_fold((email_id,), iter([rows(x) for x in r]), state))
     return out[0] if out else pd.DataFrame(columns=["sign"])
 
 
 def test_fold_retracts_and_ignores_older():
-    st = FakeState()
-    d1 = run(st, (1, 10, "s", "A", "archive", 1, 50), (1, 11, "s", "B", "flag", 3, 70), (2, 5, "s", "A", "none", 2, 10))
-    assert sorted(d1["triage_id"]) == [5, 11] and d1["sign"].tolist() == [1, 1] and d1["new_email"].sum() == 2
-    d2 = run(st, (1, 9, "s", "Z", "reply", 4, 99))             # older than the stored result: nothing
-    assert d2.empty
-    d3 = run(st, (1, 12, "s", "C", "delete", 4, 90))           # newer: retract B, add C, count unchanged
+    one, two = FakeState(), FakeState()
+    d1 = run(one, 1, (10, "s", "A", "archive", 1, 50, 7, 70), (11, "s", "B", "flag", 3, 70, 7, 71))
+    e1 = run(two, 2, (5, "s", "A", "none", 2, 10, 8, 80))
+    assert d1["triage_id"].tolist() == [11] and d1["sign"].tolist() == [1] and d1["new_email"].sum() == 1
+    assert e1["triage_id"].tolist() == [5] and e1["new_email"].sum() == 1
+    assert run(one, 1, (9, "s", "Z", "reply", 4, 99, 7, 72)).empty      # older than the stored result: nothing
+    assert run(one, 1, (11, "s", "B", "flag", 3, 70, 7, 71)).empty      # the same result again: nothing
+    d3 = run(one, 1, (12, "s", "C", "delete", 4, 90, 7, 73))            # newer: retract B, add C, count unchanged
     assert d3["sign"].tolist() == [-1, 1] and d3["new_email"].sum() == 0
     assert d3["urgency_weight"].sum() == 1 and d3["confidence"].sum() == 20
-    snap = dict(zip(SNAP_COLS, st.value))
-    assert sorted(zip(snap["email_id"], snap["triage_id"])) == [(1, 12), (2, 5)]
+    assert one.value[0] == 12 and two.value[0] == 5                     # one small state row per message
+
+
+def test_fold_of_nothing_and_of_null_labels():
+    st = FakeState()
+    assert list(_fold((1,), iter([rows()]), st)) == [] and not st.exists
+    d = run(st, 1, (3, None, None, None, 0, 0, 7, 70))
+    assert d["category"].tolist() == [None] and st.value[0] == 3
