@@ -53,6 +53,12 @@ def page(q: DataFrame, page_no: int = 1, size: int = PAGE_SIZE) -> DataFrame:
     return q.offset(size * (page_no - 1)).limit(size) if page_no > 1 else q.limit(size)
 
 
+def page_with_total(q: DataFrame, sort: str = "urgency", page_no: int = 1, size: int = PAGE_SIZE) -> DataFrame:
+    """One sorted page plus ``total``, the number of rows of all pages (a scalar subquery)."""
+    total = q.select(F.count(F.lit(1))).scalar()
+    return page(sort_queue(q, sort), page_no, size).withColumn("total", total)
+
+
 def page_after(q: DataFrame, last: tuple | None, sort: str = "urgency", size: int = PAGE_SIZE) -> DataFrame:
     """O3 keyset variant for deep pages: the ``size`` rows after ``last`` =
     (urgency_weight, received_at, id) of the previous page's final row (urgency

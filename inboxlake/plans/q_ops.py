@@ -6,10 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import actions as act
+from ..operators import categories as cats
 from ..operators import reputation as rep
 from ..operators.latest import latest_per_key
 from ..operators.validation import triage_violations
-from ..schemas import confidence_band, ucfirst, urgency_from_weight, urgency_weight
+from ..schemas import MAX_ATTEMPTS, confidence_band, ucfirst, urgency_from_weight, urgency_weight
 from ..sources import store
 from .catalog import query
 
@@ -230,3 +231,36 @@ def sender_snapshot(fx):
     """The contribution each latest result folds into its sender's statistics."""
     s = rep.snapshot(rep.folded_results(fx.emails, fx.triage, fx.categories))
     return s.select("triage_id", "reputation_snapshot.*")
+
+
+@query("bulk_requeue", oracle="""SELECT id, CASE WHEN id IN (SELECT email_id FROM pipeline_logs_v
+    WHERE status = 'failed' AND attempt < 3) THEN 'processing' ELSE pipeline_status END AS pipeline_status FROM emails_v""")
+def bulk_requeue(fx):
+    """Messages with a failed attempt and attempts left go back to processing, in one update by key set."""
+    keys = fx.pipeline_logs.where((F.col("status") == "failed") & (F.col("attempt") < MAX_ATTEMPTS))
+    return store.bulk_set(fx.emails.select("id", "pipeline_status"), keys.select(F.col("email_id").alias("id")),
+                          "id", "pipeline_status", F.lit("processing"))
+
+
+@query("published_sender_counts", oracle="""SELECT sender_email, count(*) AS email_count, max(created_at) AS last_seen_at
+FROM folded_v GROUP BY sender_email""")
+def published_sender_counts(fx):
+    """The rebuilt sender table published over an earlier version; a reader gets the later one."""
+    f = rep.folded_results(fx.emails, fx.triage, fx.categories)
+    built = rep.rebuild_scalars(f).select("sender_email", "email_count", "last_seen_at")
+    store.publish(fx.spark, built.where(F.col("email_count") > 1), "sender_counts")
+    store.publish(fx.spark, built, "sender_counts")
+    return store.read_current(fx.spark, "sender_counts")
+
+
+@query("category_hierarchy_counts", oracle="""SELECT c.id, c.name, p.name AS parent_name, m.name AS merged_into_name,
+  (SELECT count(*) FROM triage_v t WHERE t.llm_category_id = c.id) AS proposed_count
+FROM categories_v c LEFT JOIN categories_v p ON c.id % 5 = 0 AND p.id = c.id // 5
+LEFT JOIN categories_v m ON m.id = c.merged_into_id""")
+def category_hierarchy_counts(fx):
+    """J10 + A3: results per category with the names of its parent and of the category it was merged into."""
+    parents = fx.categories.withColumn(
+        "parent_category_id", F.when(F.col("id") % 5 == 0, (F.col("id") / 5).cast("int")))
+    n = fx.triage.groupBy(F.col("llm_category_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return cats.hierarchy(parents).join(n, "id", "left").select(
+        "id", "name", "parent_name", "merged_into_name", F.coalesce("n", F.lit(0)).alias("proposed_count"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import latest, logs, queue
+from ..operators import privacy as pv
 from .catalog import query
 from .oracle import URGENCY_WEIGHT_SQL
+from .q_search import ALL_TERMS_SQL, matching_messages
 
 _QUEUE_SELECT = ("id", "gmail_id", "sender_email", "subject", "received_at", "pipeline_status",
                  "latest_status", "latest_urgency", "latest_category_id", "latest_confidence",
@@ -34,6 +36,30 @@ def triage_queue_recent(fx):
     return queue.page(queue.sort_queue(q, "recent"), 2)
 
 
+@query("queue_keyset", oracle=_QUEUE_SQL + "\nORDER BY urgency_weight DESC, received_at DESC, id DESC LIMIT 25 OFFSET 25")
+def queue_keyset(fx):
+    """O3: the second page reached from the last row of the first, without skipping over rows."""
+    q = queue.queue_base(fx.emails, fx.triage).select(*_QUEUE_SELECT)
+    first = queue.page(queue.sort_queue(q, "urgency"), 1).select("urgency_weight", "received_at", "id").collect()
+    return queue.page_after(q, tuple(first[-1]) if first else None)
+
+
+@query("queue_page_full", oracle=f"""WITH hit AS (SELECT DISTINCT id FROM ({ALL_TERMS_SQL})),
+q AS ({_QUEUE_SQL} AND l.status = 'needs_review' AND e.id IN (SELECT id FROM hit))
+SELECT id, sender_email, latest_status, latest_urgency, 'About: ' || subject AS summary,
+  (SELECT count(*) FROM q) AS total
+FROM q ORDER BY urgency_weight DESC, received_at DESC, id DESC LIMIT 25""")
+def queue_page_full(fx):
+    """Q1 as it is served: status filter, full-text filter (any benchmark passage), sort, page and total, with the
+    summary's placeholders replaced by the page's mappings (T3)."""
+    q = queue.filter_queue(queue.queue_base(fx.emails, fx.triage), status="needs_review",
+                           matching_ids=matching_messages(fx).select(F.col("id").alias("email_id")).distinct())
+    page = pv.anonymize_columns(queue.page_with_total(q))
+    stored_summary = F.concat(F.lit("About: "), "anonymized_subject")
+    return page.select("id", "sender_email", "latest_status", "latest_urgency",
+                       pv.deanonymize(stored_summary, F.col("pii_mappings")).alias("summary"), "total")
+
+
 @query("queue_filtered", oracle=_QUEUE_SQL + "\nAND l.status = 'needs_review' AND l.urgency = 'critical'")
 def queue_filtered(fx):
     """Every alive message whose latest result needs review and is critical."""
@@ -109,7 +135,9 @@ def category_counts(fx):
     return queue.category_counts(fx.categories, fx.triage)
 
 
-@query("stage_duration_quantiles")
+@query("stage_duration_quantiles", oracle="""SELECT stage, quantile_disc(duration_ms, 0.5) AS p50_ms,
+  quantile_disc(duration_ms, 0.9) AS p90_ms, quantile_disc(duration_ms, 0.99) AS p99_ms
+FROM pipeline_logs_v GROUP BY stage""")
 def stage_duration_quantiles(fx):
     """Approximate duration percentiles (p50, p90, p99) per stage."""
     q = logs.stage_duration_quantiles(fx.pipeline_logs)

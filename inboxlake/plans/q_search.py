@@ -68,6 +68,20 @@ def search_index(fx):
     return se.build_index(fx.emails, "id", {"subject": "A", "body": "B"})
 
 
+# (item_id, id): messages that hold every term of a benchmark passage
+ALL_TERMS_SQL = f"""SELECT q.item_id, d.id FROM (SELECT DISTINCT item_id, unnest({d_tokens('text')}) AS term FROM benchmark) q
+  JOIN (SELECT DISTINCT id, unnest({d_tokens('subject || chr(10) || body')}) AS term FROM emails_v) d ON d.term = q.term
+  JOIN (SELECT item_id, len({d_tokens('text')}) AS n FROM benchmark) n ON n.item_id = q.item_id
+  GROUP BY q.item_id, d.id, n.n HAVING count(*) = n.n"""
+
+
+def matching_messages(fx):
+    """T7 over messages: (item_id, id) for every benchmark passage as a query."""
+    docs = fx.emails.select("id", F.concat_ws("\n", "subject", "body").alias("text"))
+    idx = store.checkpoint_table(fx.spark, se.postings(docs, "id", "text"), "email_index", sort_by=["term"])
+    return se.search_all_terms(idx, se.postings(fx.t.benchmark, "item_id", "text"), "id", "item_id")
+
+
 @query("queue_search", oracle=f"""WITH d AS (SELECT DISTINCT id, unnest({d_tokens('subject || chr(10) || body')}) AS term FROM emails_v),
 q AS (SELECT DISTINCT item_id, unnest({d_tokens('text')}) AS term FROM benchmark),
 n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id),
@@ -79,9 +93,6 @@ WHERE e.deleted_at IS NULL""")
 def queue_search(fx):
     """P5 in Q1: the queue filtered by a full-text query (every benchmark passage as a query)."""
     from ..operators.queue import queue_base
-    docs = fx.emails.select("id", F.concat_ws("\n", "subject", "body").alias("text"))
-    idx = store.checkpoint_table(fx.spark, se.postings(docs, "id", "text"), "email_index", sort_by=["term"])
-    q = se.postings(fx.t.benchmark, "item_id", "text")
-    m = se.search_all_terms(idx, q, "id", "item_id")
+    m = matching_messages(fx)
     base = queue_base(fx.emails, fx.triage).select("id", "latest_status", "latest_urgency")
     return m.join(base, "id").select("item_id", "id", "latest_status", "latest_urgency")
