@@ -62,13 +62,24 @@ def new_proposed_categories(responses: DataFrame, categories: DataFrame) -> Data
                     F.lit("pending_review").alias("status"), "first_response_id"))
 
 
-def resolve_category(responses: DataFrame, categories: DataFrame) -> DataFrame:
+def with_ids(created: DataFrame, categories: DataFrame) -> DataFrame:
+    """New categories numbered after the highest known id, by first proposal (a taxonomy fits into one prompt,
+    so its new names are few)."""
+    top = categories.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    order = Window.orderBy("first_response_id", "name")
+    return created.withColumn("id", (top + F.row_number().over(order)).cast("int"))
+
+
+def resolve_category(responses: DataFrame, categories: DataFrame, created: DataFrame | None = None) -> DataFrame:
     """C1 + P12 + P15: matched id wins (unknown id -> none); else the proposal by
     name, reusing an existing row of any status or a newly created pending row.
     ``resolved_id`` is that category's id whatever its status; a proposal's name
-    is recorded only where the category is pending, and only from the proposal."""
-    created = new_proposed_categories(responses, categories).select(
-        "name", F.lit(None).cast("int").alias("id"), "status", F.lit(None).cast("int").alias("confidence_threshold"))
+    is recorded only where the category is pending, and only from the proposal.
+    ``created``: the new categories with ids; without it they have none yet."""
+    if created is None:
+        created = new_proposed_categories(responses, categories).withColumn("id", F.lit(None).cast("int"))
+    created = created.select(
+        "name", "id", "status", F.lit(None).cast("int").alias("confidence_threshold"))
     by_name = categories.select("name", "id", "status", "confidence_threshold").unionByName(created)
     by_id = categories.select(F.col("id").alias("m_id"), F.col("name").alias("m_name"),
                               F.col("status").alias("m_status"), F.col("confidence_threshold").alias("m_thr"))
