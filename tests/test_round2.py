@@ -87,3 +87,48 @@ def test_spread_runs_no_job_while_planning(spark):
     spread(a)
     assert list(tracker.getJobIdsForGroup(group)) == []
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_pipeline_resumes_with_its_sink_and_checkpoint(spark):
+    from inboxlake.streaming import pipeline as pl
+    from inboxlake.streaming.runner import fresh_paths, land_polls
+    mail = "From: Ann <ann{0}@a.example>\r\nMessage-ID: <m{0}@a.example>\r\nSubject: hello bob{0}@b.example\r\n\r\nBody {0}"
+    raw = spark.createDataFrame([(i, bytearray(mail.format(i).encode()), i // 3) for i in range(6)],
+                                "uid long, content binary, poll int")
+    seed = pl.empty_seed(spark, categories=spark.createDataFrame(
+        [(1, "Banking", "active", None, None, None)], pl.SCHEMAS["categories"]))
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    sink, checkpoint = fresh_paths(spark, "resume_test")
+
+    def fails_first(prompt):
+        answer = F.lit('{"category_proposal": {"category": "Topic", "reasoning": "new"}, "confidence": 90}')
+        return F.when(~((F.col("id") % 3 == 1) & (F.col("attempt") == 1)), answer)
+
+    path = None
+    for k in (0, 1):  # the retry round after the first run must not take the number of the second run's batch
+        part = raw.where(F.col("poll") == k).withColumn("poll", F.lit(0))
+        path = land_polls(spark, part, "resume_test", "poll", 1, path=path)
+        store = pl.run_pipeline(spark, path, raw.drop("poll").schema, seed, now, backend=fails_first,
+                                sink=sink, checkpoint=checkpoint)
+        status = {r.id: r.pipeline_status for r in pl.pipeline_status(store).collect()}
+        assert status == {i: "completed" for i in range(3 * (k + 1))}
+    results = store.read("results").collect()
+    assert sorted(r.email_id for r in results) == list(range(6))
+    assert len({r.id for r in results}) == 6
+    # one category for the proposed name, referenced by every result
+    assert [(r.id, r.name) for r in store.read("categories").where("status = 'pending_review'").collect()] == [(2, "Topic")]
+    assert {r.llm_category_id for r in results} == {2}
+    assert {r.llm_backend for r in results} == {"rules"}
+    logs = {(r.stage, r.status): r["count"] for r in store.read("logs").groupBy("stage", "status").count().collect()}
+    assert logs[("anonymize", "succeeded")] == 6 and logs[("anonymize", "skipped")] == 2
+    assert logs[("embed", "succeeded")] == 6 and logs[("triage", "failed")] == 2
+    texts = [r.anonymized_subject for r in store.read("messages").collect()]
+    assert all("@" not in t and "[EMAIL_ADDRESS_1]" in t for t in texts)
+
+
+def test_refused_vectors_become_failed_rows(spark):
+    from inboxlake.streaming.pipeline import embed_logs
+    df = spark.createDataFrame([(1, [1.0], 1), (2, None, 2)], "email_id long, embedding array<double>, attempt int")
+    got = {(r.email_id, r.status, r.attempt, r.message) for r in embed_logs(df, F.current_timestamp()).collect()}
+    assert got == {(1, "started", 1, None), (1, "succeeded", 1, None), (2, "started", 2, None),
+                   (2, "failed", 2, "no vector of the expected dimension")}
