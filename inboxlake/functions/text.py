@@ -87,6 +87,7 @@ def labels_from_flags(flags: Column) -> Column:
     return F.when(flagged, F.array(F.lit("INBOX"), F.lit("IMPORTANT"))).otherwise(F.array(F.lit("INBOX")))
 
 
+# fixed values: patterns that must match the same lines
 QUOTE_PATTERNS = [r"^On .+ wrote:$", r"(?i)^-{2,}\s*Original Message\s*-{2,}"]
 
 

@@ -37,9 +37,6 @@ def latest_failure(logs: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("n_failures")))
 
 
-def text_size_metrics(df: DataFrame, text_in: str, text_out: str, mappings: str | None = None) -> DataFrame:
-    """Characters in/out and mapping count per row."""
-    cols = [F.length(text_in).alias("chars_in"), F.length(text_out).alias("chars_out")]
-    if mappings:
-        cols.append(F.size(mappings).alias("mapping_count"))
-    return df.select("*", *cols)
+def text_size_metrics(df: DataFrame, text_in: str, text_out: str) -> DataFrame:
+    """Characters in and out per row."""
+    return df.select("*", F.length(text_in).alias("chars_in"), F.length(text_out).alias("chars_out"))

@@ -33,9 +33,3 @@ def triage_violations(triage: DataFrame, categories: DataFrame) -> DataFrame:
     ]
     return (t.select(*triage.columns, violations(rules).alias("violations"))
             .where(F.size("violations") > 0))
-
-
-def split_valid(df: DataFrame, rules: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
-    """Valid rows and rejected rows (with their violations)."""
-    v = df.withColumn("violations", violations(rules))
-    return v.where(F.size("violations") == 0).drop("violations"), v.where(F.size("violations") > 0)

@@ -6,6 +6,7 @@ import secrets
 
 from pyspark.sql import functions as F
 
+from ..operators import logs
 from ..operators import privacy as pv
 from ..operators.partitioning import spread
 from .catalog import query
@@ -37,8 +38,7 @@ def pii_roundtrip(fx):
 def pii_stage(fx):
     """T4 + A17: anonymize stage over all messages (subject and body), with size metrics."""
     msgs, _ = pv.anonymize_stage(fx.emails.select("id", "subject", "body"))
-    return msgs.select("id", F.length("body").alias("chars_in"), F.length("anonymized_body").alias("chars_out"),
-                       "mapping_count")
+    return logs.text_size_metrics(msgs, "body", "anonymized_body").select("id", "chars_in", "chars_out", "mapping_count")
 
 
 @query("pii_mapping_counts")

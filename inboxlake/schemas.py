@@ -30,7 +30,6 @@ PAGE_SIZE = 25
 DASHBOARD_RECENT = 10
 INITIAL_FETCH_DAYS = 3
 MAX_ATTEMPTS = 3
-SELECTED_HEADERS = ["List-Unsubscribe", "List-Id", "Precedence", "Auto-Submitted"]
 DEFAULT_SENDER = "unknown@unknown"
 DEFAULT_SUBJECT = "(no subject)"
 # PHP trim() character set

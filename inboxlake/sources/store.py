@@ -96,15 +96,6 @@ def checkpoint_table(spark: SparkSession, df: DataFrame, name: str, sort_by: lis
     return spark.read.parquet(path)
 
 
-def ordinal_union(frames: list[DataFrame]) -> DataFrame:
-    """Concatenate frames keeping their order as an ``_ord`` column."""
-    out = None
-    for i, f in enumerate(frames):
-        f = f.withColumn("_ord", F.lit(i))
-        out = f if out is None else out.unionByName(f)
-    return out
-
-
 # ---- small filesystem helpers (Hadoop FileSystem: local, HDFS, object stores) ----
 
 def _fs(spark: SparkSession, path: str):
