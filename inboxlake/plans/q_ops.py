@@ -184,10 +184,13 @@ SELECT email_id, 'action' AS kind, executed_at AS at, id AS child_id, action_typ
 FROM actions_log_v WHERE email_id IN (SELECT id FROM page)
 UNION ALL
 SELECT email_id, 'log' AS kind, recorded_at AS at, id AS child_id, stage || ':' || status || ':' || coalesce(message, '') AS detail
-FROM pipeline_logs_v WHERE email_id IN (SELECT id FROM page)""")
+FROM pipeline_logs_v WHERE email_id IN (SELECT id FROM page)
+UNION ALL
+SELECT email_id, 'result' AS kind, created_at AS at, id AS child_id, status || ':' || urgency || ':' || suggested_action AS detail
+FROM latest_v WHERE email_id IN (SELECT id FROM page)""")
 def message_detail(fx):
-    """The detail view of one queue page -- each message's actions and
-    stage log as time-ordered child rows.  The order is a global sort on
+    """The detail view of one queue page -- each message's actions,
+    stage log and latest result as time-ordered child rows.  The order is a global sort on
     (email_id, at, child id): range partitioning splits even a message with a
     huge history over many tasks, where nesting it into one array would not."""
     from ..operators.queue import page, queue_base, sort_queue
@@ -198,7 +201,11 @@ def message_detail(fx):
     logs = fx.pipeline_logs.join(ids, "email_id", "left_semi").select(
         "email_id", F.lit("log").alias("kind"), F.col("recorded_at").alias("at"), F.col("id").alias("child_id"),
         F.concat_ws(":", "stage", "status", F.coalesce("message", F.lit(""))).alias("detail"))
-    return acts.unionByName(logs).orderBy("email_id", "at", "kind", "child_id")
+    last = latest_per_key(fx.triage.join(ids, "email_id", "left_semi"), "email_id", "id",
+                          ["id", "status", "urgency", "suggested_action", "created_at"]).select(
+        "email_id", F.lit("result").alias("kind"), F.col("created_at").alias("at"), F.col("id").alias("child_id"),
+        F.concat_ws(":", "status", "urgency", "suggested_action").alias("detail"))
+    return acts.unionByName(logs).unionByName(last).orderBy("email_id", "at", "kind", "child_id")
 
 
 @query("urgency_scale", oracle="""SELECT urgency, upper(substr(urgency, 1, 1)) || substr(urgency, 2) AS label,
