@@ -106,9 +106,13 @@ class _Inflate:
         self.rest = body
 
     def head(self) -> bytes:
-        while b"\r\n\r\n" not in self.out and (self.rest or not self.z.eof):
-            self.out += self.z.decompress(self.rest, _HEAD_BYTES)
+        """The headers, or what there is of them where the given bytes end before."""
+        while b"\r\n\r\n" not in self.out:
+            more = self.z.decompress(self.rest, _HEAD_BYTES)
+            self.out += more
             self.rest = self.z.unconsumed_tail
+            if not more and not self.rest:
+                break
         return self.out.split(b"\r\n\r\n", 1)[0]
 
     def payload(self) -> bytes:

@@ -394,6 +394,34 @@ def test_warc_pushes_filters_and_leaves_payloads(spark):
     assert warc.read_archives(spark, path).where("record_type = 'revisit'").first().refers_to == 2
 
 
+def test_warc_headers_over_the_first_read(spark):
+    """Urls that compress to far more than the bytes read first; the alarm ends a reader that waits for more."""
+    import signal
+    rng = random.Random(11)
+    urls = ["data:," + "".join(rng.choices("0123456789abcdef", k=n)) for n in (1500, 2500, 5000, 80_000)]
+    whole = warc.member(warc.record(1, urls[2], None, "D", 3, b"abc"))
+
+    def stuck(*_):
+        raise TimeoutError("headers never end")
+    old = signal.signal(signal.SIGALRM, stuck)
+    signal.alarm(20)
+    try:
+        part = warc._Inflate(whole[warc._FIXED.size:warc._FIXED.size + warc._HEAD_BYTES])
+        assert part.head() and b"\r\n\r\n" not in part.out
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, old)
+    bodies = ["", "x", "\r\n\r\n" + "".join(rng.choices("0123456789abcdef", k=9000)), "x"]
+    pages = spark.createDataFrame(list(zip(range(4), urls, bodies)), "page_id long, url string, html string")
+    path = common.scratch(spark, "warc")
+    warc.write_pages(pages.coalesce(1), path)
+    back = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
+    assert [back[i].target_uri for i in range(4)] == urls and back[1].refers_to == 3
+    assert [back[i].payload and bytes(back[i].payload).decode() for i in range(4)] == [b"", None, bodies[2], "x"]
+    lean = warc.read_archives(spark, path, payload=False).where(F.col("target_uri") == urls[3]).collect()
+    assert [(r.page_id, r.payload) for r in lean] == [(3, None)]
+
+
 # ---- 8
 def test_sharding(docs, nothing, texts):
     got = sharding.shard_documents(docs).toPandas()
