@@ -38,7 +38,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents and their places in sequences."""
     import public_tokenizers
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", keep_good), ("near_dedup", keep_firsts), ("decontaminate", drop_contaminated),

@@ -8,6 +8,8 @@ whatever the data's size) and Spark deals the pieces out to the places by their
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 
 import numpy as np
@@ -32,7 +34,8 @@ class WordEncoder:
     """Ids of a byte-level BPE as packed little-endian numbers, word by word.
 
     A token never reaches over the boundary before a single space between two characters that aren't white space, so
-    a text splits there exactly and each word's ids can be remembered.  Other texts are encoded whole.
+    a text splits there exactly and each word's ids can be remembered.  Other texts are encoded whole.  The added
+    tokens of a tokenizer's json are cut out of a text first, as ``tokenizers`` does; a file of ranks has none.
     """
 
     def __init__(self, vocabulary: str):
@@ -40,8 +43,13 @@ class WordEncoder:
         import tiktoken
         from public_tokenizers import PATTERN
         with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+            if vocabulary.endswith(".json"):
+                ranks, added = _parse_tokenizer(json.load(f))
+            else:
+                ranks, added = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}, {}
         self.whole = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.added = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
         self.odd = regex.compile(r"^\s|\s$|[^\S ] | [^\S ]|  ")
         self.words: dict[str, bytes] = {}
 
@@ -50,6 +58,12 @@ class WordEncoder:
 
     def ids(self, text: str) -> bytes:
         """Ids of a text, four bytes each."""
+        if not self.added or not self.cut.search(text):
+            return self._words(text)
+        return b"".join(self.added[part] if i % 2 else self._words(part)
+                        for i, part in enumerate(self.cut.split(text)))
+
+    def _words(self, text: str) -> bytes:
         if not text:
             return b""
         if self.odd.search(text):
@@ -72,6 +86,22 @@ class WordEncoder:
             return b"".join(out)
 
 
+def _parse_tokenizer(tokenizer: dict) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Ranks by bytes and ids of the added tokens of a byte-level BPE's json; anything else is refused."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*shown}))}
+    added = {t["content"]: t["id"] for t in tokenizer["added_tokens"]}
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in tokenizer["added_tokens"]):
+        raise ValueError("added tokens that are matched other than by their text")
+    vocab, steps = tokenizer["model"]["vocab"], tokenizer["pre_tokenizer"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in tokenizer["model"]["merges"]]
+    order = [vocab[a + b] for a, b in pairs]
+    if (tokenizer["normalizer"] or steps["type"] != "ByteLevel" or steps["add_prefix_space"] or not steps["use_regex"]
+            or order != sorted(order)):
+        raise ValueError("not a byte-level BPE with ids in the order of its merges")
+    return {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in added}, added
+
+
 def _encoder(vocabulary: str) -> WordEncoder:
     if vocabulary not in _ENCODERS:
         _ENCODERS[vocabulary] = WordEncoder(vocabulary)
@@ -82,8 +112,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
            with_ids: bool = True) -> DataFrame:
     """Token pieces of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32[, ids binary].
 
-    ``vocabulary``: a file of BPE ranks at the same path on every machine.  ``end_id`` ends each document.  Documents
-    over ``capacity`` are cut from their end into pieces of ``capacity``; the first piece is the rest.
+    ``vocabulary``: a tokenizer's json, or a file of BPE ranks alone, at the same path on every machine; texts of the
+    json's added tokens are those tokens.  ``end_id`` ends each document.  Documents over ``capacity`` are cut from
+    their end into pieces of ``capacity``; the first piece is the rest.
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     end = np.array([end_id], "<u4").tobytes()
@@ -224,4 +255,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, with_ids: bool = False) ->
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into sequences of 1024 tokens."""
     import public_tokenizers
-    return pack_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -290,6 +290,28 @@ def test_packing(spark, docs, nothing, texts):
     assert packing.pack_documents(nothing, path).count() == 0
 
 
+def test_packing_takes_added_tokens(spark, tmp_path):
+    """Ids as ``tokenizers`` gives them without any switch: the text of an added token is that token."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rng = random.Random(8)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "don't", "x", "é", "12 ab", "a b"]
+    texts = ["<|endoftext|> x", "<|endoftext|>", "a <|endoftext|>\n", "", *(
+        "".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(400))]
+    encoder = packing.WordEncoder(path)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(encoder.ids(t), "<u4").tolist() for t in texts] == want and want[0] == [50256, 2124]
+    with open(tmp_path / "documents.parquet", "wb") as f:
+        pd.DataFrame({"doc_id": range(len(texts)), "text": texts}).to_parquet(f)
+    import corpus_pipeline
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for got in (packing.op5_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        have = {r.doc_id: r.ids_crc32 for r in got.collect()}
+        assert have == {i: zlib.crc32(np.array([*ids, 2], "<u4").tobytes()) for i, ids in enumerate(want)}
+
+
 @pytest.mark.parametrize("limit, waste", [(50, 1.2), (400, 1.05), (100_000, 1.05)])
 def test_packing_plan_places_every_piece_once(limit, waste):
     """Groups of a few dozen pieces, far below ROUND_PIECES, leave more gaps but lose nothing."""
