@@ -15,12 +15,40 @@ SHARDS = 8
 RADIX = 15
 #: A dimension's key: KEY_BITS of the value above TIE_BITS of a hash that orders equal values.
 KEY_BITS, TIE_BITS = 32, 28
+#: A metadata value with more than one in so many of the rows is frequent.
+FREQUENT = 1000
 
 
-def _text_code(c: Column) -> Column:
-    """The first four bytes of a string as a number of the same order (null: 0)."""
-    head = F.rpad(F.hex(F.substring(F.encode(F.coalesce(c, F.lit("")), "utf-8"), 1, 4)), 8, "0")
-    return F.conv(head, 16, 10).cast("long")
+def _order_numbers(values: DataFrame) -> DataFrame:
+    """``values`` (value, n; values distinct) with ``code``: the value's place in the order of all, from 0.
+
+    Ranks are taken within ranges of the order and raised by the sizes of earlier ranges, one number a range.
+    """
+    ranged = common.stored(values.repartitionByRange("value").withColumn("__p", F.spark_partition_id()), "values")
+    before, parts = [], 0
+    for r in sorted(ranged.groupBy("__p").count().collect()):
+        before.append((r[0], parts))
+        parts += r[1]
+    offsets = values.sparkSession.createDataFrame(before, "__p int, __before long")
+    rank = F.row_number().over(Window.partitionBy("__p").orderBy("value")) - 1
+    return (ranged.withColumn("__rank", rank).join(F.broadcast(offsets), "__p")
+            .select("value", "n", (F.col("__rank") + F.col("__before")).cast("long").alias("code")))
+
+
+def _coded(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the string column ``name`` replaced by its value's order number (null before all others).
+
+    The at most FREQUENT values that hold more than 1/FREQUENT of the rows each are looked up without a shuffle, so no
+    task gets all rows of one of them.
+    """
+    keyed = rows.withColumn(name, F.coalesce(F.concat(F.lit("+"), name), F.lit("")))
+    values = keyed.groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    codes = common.stored(_order_numbers(values), "codes").withColumnRenamed("value", name)
+    bound = (codes.agg(F.sum("n")).first()[0] or 0) / FREQUENT
+    frequent, others = (codes.where(c).select(name, "code") for c in (F.col("n") > bound, F.col("n") <= bound))
+    found = keyed.join(F.broadcast(frequent), name).unionByName(
+        keyed.join(F.broadcast(frequent.select(name)), name, "left_anti").join(others, name))
+    return found.drop(name).withColumnRenamed("code", name)
 
 
 def _key(value: Column, salt: int) -> Column:
@@ -31,21 +59,25 @@ def _key(value: Column, salt: int) -> Column:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, size (UTF-8 bytes and one more), text_crc32 and the tree's dimensions d0 (length), d1 (language),
-    d2 (source) of ``docs`` (doc_id, text, lang, source)."""
+    """doc_id, size (UTF-8 bytes and one more), text_crc32 and the tree's dimensions d0 (length), d1 (language) and
+    d2 (source), both as order numbers of the distinct values, of ``docs`` (doc_id, text, lang, source)."""
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("__b"),
                       F.col("lang").cast("string").alias("__lang"), F.col("source").cast("string").alias("__source"))
     flat = raw.select("doc_id", (F.coalesce(F.octet_length("__b"), F.lit(0)) + 1).cast("long").alias("size"),
                       F.crc32(F.coalesce("__b", F.lit(b""))).alias("text_crc32"), "__lang", "__source")
-    return flat.select("doc_id", "size", "text_crc32", _key(F.col("size"), 0).alias("d0"),
-                       _key(_text_code(F.col("__lang")), 1).alias("d1"),
-                       _key(_text_code(F.col("__source")), 2).alias("d2"))
+    coded = _coded(_coded(common.stored(flat, "described"), "__lang"), "__source")
+    return coded.select("doc_id", "size", "text_crc32", _key(F.col("size"), 0).alias("d0"),
+                        _key(F.col("__lang"), 1).alias("d1"), _key(F.col("__source"), 2).alias("d2"))
 
 
 def _widest(rows: DataFrame, dims: list[str]) -> DataFrame:
-    """node, dim: per node the dimension whose range is the largest share of the whole table's range."""
-    spans = rows.groupBy("node").agg(*[(F.max(d) - F.min(d)).cast("double").alias(d) for d in dims])
-    whole = rows.agg(*[F.greatest(F.max(d) - F.min(d), F.lit(1)).cast("double").alias(d) for d in dims]).first()
+    """node, dim: per node the dimension whose range of values is the largest share of the whole table's range.
+
+    The hash that orders equal values is no width: a dimension of one value has none.
+    """
+    width = {d: F.shiftright(F.max(d), TIE_BITS) - F.shiftright(F.min(d), TIE_BITS) for d in dims}
+    spans = rows.groupBy("node").agg(*[w.cast("double").alias(d) for d, w in width.items()])
+    whole = rows.agg(*[F.greatest(w, F.lit(1)).cast("double").alias(d) for d, w in width.items()]).first()
     shares = spans.select("node", *[(F.col(d) / whole[d]).alias(d) for d in dims] if whole[0] else [*dims])
     best = F.greatest(*dims)
     pick = F.lit(len(dims) - 1)

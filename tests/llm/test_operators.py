@@ -464,6 +464,26 @@ def test_sharding_balances_one_hot_source(spark):
     assert len(size) == 8 and size.max() - size.min() < 0.02 * size.mean()
 
 
+def test_sharding_orders_whole_metadata_values(spark, monkeypatch):
+    """Sources with one long common beginning: every shard of equal documents is one source's."""
+    host = "https://example.org/collection/"
+    rows = spark.range(1600).select(
+        F.col("id").alias("doc_id"), F.lit("same size").alias("text"), F.lit("en").alias("lang"),
+        F.concat(F.lit(host), (F.col("id") % 8).cast("string")).alias("source"))
+    got = sharding.shard_documents(rows).toPandas()
+    assert (got.groupby("shard").doc_id.agg(lambda x: (x % 8).nunique()) == 1).all() and got.shard.nunique() == 8
+    names = [None, "", "src1", "src10", "src19", "src2", "é", "😀", host + "a", host + "b"] + ["src10"] * 30
+    odd = spark.createDataFrame([(i, "t", s, s) for i, s in enumerate(names)],
+                                "doc_id long, text string, lang string, source string")
+    order = sorted({s for s in names if s is not None}, key=str.encode)
+    want = {i: 0 if s is None else 1 + order.index(s) for i, s in enumerate(names)}
+    for frequent in (1000, 4, 1):
+        monkeypatch.setattr(sharding, "FREQUENT", frequent)
+        for d in ("d1", "d2"):
+            coded = sharding.describe(odd).select("doc_id", F.shiftright(d, sharding.TIE_BITS)).collect()
+            assert len(coded) == len(names) and dict(map(tuple, coded)) == want
+
+
 # ---- 9
 def test_substrings(docs, nothing, texts):
     got = substring_dedup.dedup_substrings(docs).collect()
