@@ -20,6 +20,15 @@ from . import common
 
 #: A run of 16 or more with a digit, or of 20 or more without.
 CANDIDATE = (r"(?<![A-Za-z0-9+/_\-])(?:(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+|[A-Za-z+/_\-]{20,}+)")
+_NAMES = r"(?i:passw(?:or)?d|pwd|secret|token|api[_\-]?key)"
+_ASSIGN = r"[\"']?\s{0,8}(?:=>|:=|[=:])\s{0,8}"
+#: Texts that may hold a value assigned to a credential's name or a URL with a user part.
+_PLACES = _NAMES + r"[\"']?\s*[=:]|://[^\s/]*@"
+#: Values in these places whatever their length and symbols (unquoted ones without a comma, semicolon or full stop at
+#: their end), then CANDIDATE.
+PLACED = (r"(?<=[=:>\s\"'])(?=\S)(?:(?<=" + _NAMES + _ASSIGN + r"\")[^\"\s]+|(?<=" + _NAMES + _ASSIGN + r"')[^'\s]+"
+          r"|(?<=" + _NAMES + _ASSIGN + r")[^\s\"'=:>]\S*?(?=[.,;]*(?:\s|$)))"
+          r"|(?<=://[^\s/@:]{0,99}:)[^\s/]+(?=@[^\s/@])|(?<=://)[^\s/@:]+(?=@)|" + CANDIDATE)
 #: Context characters kept on either side.
 CONTEXT = 40
 #: Documents that must hold a word of the dictionary.
@@ -45,9 +54,14 @@ def candidates(docs: DataFrame) -> DataFrame:
     (doc_id, text, source)."""
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
                         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"),
-                        F.col("text").cast("string").alias("__t")).where(F.col("__t").rlike(CANDIDATE))
-    parts = found.withColumns({"__m": F.regexp_extract_all("__t", F.lit(CANDIDATE), F.lit(0)),
-                               "__p": F.split("__t", CANDIDATE, -1)})
+                        F.col("text").cast("string").alias("__t"))
+    # the look-behinds of PLACED are slow: only where such a place is
+    placed = F.col("__t").rlike(_PLACES)
+    found = found.withColumn("__placed", placed).where(F.col("__placed") | F.col("__t").rlike(CANDIDATE))
+    parts = found.withColumns({
+        "__m": F.when(F.col("__placed"), F.regexp_extract_all("__t", F.lit(PLACED), F.lit(0)))
+        .otherwise(F.regexp_extract_all("__t", F.lit(CANDIDATE), F.lit(0))),
+        "__p": F.when(F.col("__placed"), F.split("__t", PLACED, -1)).otherwise(F.split("__t", CANDIDATE, -1))})
     lengths = F.arrays_zip(F.transform("__p", F.length).alias("p"), F.transform("__m", F.length).alias("m"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
     starts = F.aggregate(lengths, start, lambda s, x: F.struct(
@@ -91,7 +105,8 @@ def describe(found: DataFrame, words: DataFrame, table: list[float]) -> DataFram
     """Candidates with the forest's features."""
     value = F.col("value")
     low = F.lower(value)
-    at = F.sequence(F.lit(1), F.length(value) - 1)
+    pairs = F.greatest(F.length(value) - 1, F.lit(1))
+    at = F.sequence(F.lit(1), pairs)
     steps = F.transform(at, lambda i: F.element_at(F.lit(table), _state(F.substring(low, i, 1)) * _STATES
                                                    + _state(F.substring(low, i + 1, 1)) + 1))
     # by distinct value: copies of a finding are looked up once
@@ -105,7 +120,7 @@ def describe(found: DataFrame, words: DataFrame, table: list[float]) -> DataFram
         _share(value, "A-Z").alias("capitals"), _share(value, "a-z").alias("small"),
         (F.size(F.array_distinct(F.split(value, ""))) / F.length(value)).alias("distinct"),
         (F.regexp_count(value, F.lit("(?<=[0-9])(?=[^0-9])|(?<=[^0-9])(?=[0-9])")) / F.length(value)).alias("switches"),
-        (F.aggregate(steps, F.lit(0.0), lambda x, y: x + y) / (F.length(value) - 1)).alias("transitions"))
+        (F.aggregate(steps, F.lit(0.0), lambda x, y: x + y) / pairs).alias("transitions"))
     return found.join(known, "value").select(
         "*", F.col("before").rlike(r"[=:]\s*[\"']?$").cast("double").alias("assigned"),
         (F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")).cast("double").alias("quoted"),
@@ -114,12 +129,15 @@ def describe(found: DataFrame, words: DataFrame, table: list[float]) -> DataFram
 
 
 def label_findings(found: DataFrame) -> DataFrame:
-    """Adds ``label`` from what needs no model: 1 for issued key formats and values assigned to a credential's name,
-    0 for plain numbers and strings without a digit, null (to be judged) for all others."""
+    """Adds ``label`` from what needs no model: 1 for issued key formats and values with a digit assigned to a
+    credential's name or in a URL's user part, 0 for plain numbers and strings without a digit elsewhere, null (to be
+    judged) for all others."""
     issued = F.col("value").rlike("^AKIA[0-9A-Z]{16}$")
-    named = F.lower(F.col("before")).rlike(r"(passw(or)?d|pwd|secret|token|api_?key)\s*[=:]\s*[\"']?$")
+    named = (F.col("before").rlike(_NAMES + _ASSIGN + r"[\"']?$")
+             | (F.col("before").rlike(r"://[^\s/@:]*:$") & F.col("after").startswith("@")))
     digit, other = F.col("value").rlike("[0-9]"), F.col("value").rlike("[^0-9]")
-    return found.withColumn("label", F.when(issued | (named & digit & other), 1.0).when(~digit | ~other, 0.0))
+    return found.withColumn("label", F.when(issued | (named & digit & other), 1.0)
+                            .when(~named & (~digit | ~other), 0.0))
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> PipelineModel | None:

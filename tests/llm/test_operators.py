@@ -369,6 +369,28 @@ def test_secrets(spark, nothing):
     assert secrets.scan(alone).where("is_secret").count() == 1
 
 
+def test_secrets_in_a_credentials_place(spark):
+    """Values of any length and symbols assigned to a credential's name or in a URL's user part."""
+    placed = [('password = "Tr0ub4dor3x"', "Tr0ub4dor3x"), ("pwd: hunter2go", "hunter2go"),
+              ("api_key=a1b2c3d4e5f6", "a1b2c3d4e5f6"), ("postgres://app:S3cretPw9@db", "S3cretPw9"),
+              ('password="k9!xQ7#vL2@pZ4$w"', "k9!xQ7#vL2@pZ4$w"), ('token="abcdefghijklmnopqrs"', "abcdefghijklmnopqrs"),
+              ('secret = "CorrectHorseBatteryStaple"', "CorrectHorseBatteryStaple"), ("PWD=x", "x"),
+              ('{"password": "aé1"}', "aé1"), ("pwd: hunter2go, then", "hunter2go")]
+    rng = random.Random(6)
+    rows = [(i, f"é {t}", "s") for i, (t, _) in enumerate(placed)]
+    rows += [(100 + i, f"{sentence(rng, 8)} {'plainwords' * 3} password=7q{i}zz{i}k {sentence(rng, 5)}", "s")
+             for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = common.stored(secrets.scan(docs), "findings")
+    got = {}
+    for r in found.where("doc_id < 100").collect():
+        got.setdefault(r.doc_id, []).append((r.value, rows[r.doc_id][1][r.start:r.start + len(r.value)], r.label))
+    assert {i: [x[:2] for x in v] for i, v in got.items()} == {i: [(v, v)] for i, (_, v) in enumerate(placed)}
+    assert all(x[2] != 0 for v in got.values() for x in v) and got[6][0][2] is None
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, found).collect()}
+    assert not [i for i, (_, v) in enumerate(placed) if len(v) > 1 and v in clean[i]]
+
+
 # ---- 7
 def test_warc_round_trip(spark):
     rows = [(1, "http://a", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://c\r\nWARC-Type: revisit", None), (4, "u", ""),
