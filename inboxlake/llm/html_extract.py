@@ -16,8 +16,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +53,8 @@ class Trees:
 
 def training_rows(spark: SparkSession, first: int, pages: int) -> DataFrame:
     """Features and labels (1: holds main text) of the nodes of generated pages whose parent holds main text."""
+    from pyspark.ml.functions import array_to_vector
+
     def rows(batches):
         for batch in batches:
             nodes = Nodes([parse(labelled_page(i)) for i in batch.column(0).to_pylist()])
@@ -69,6 +69,7 @@ def training_rows(spark: SparkSession, first: int, pages: int) -> DataFrame:
 
 def fit(spark: SparkSession, pages: int = TRAIN_PAGES) -> Trees:
     """Trees fitted to ``pages`` generated pages; their nodes are read back from the saved model."""
+    from pyspark.ml.classification import GBTClassifier  # not at the top: the workers need none of it
     rows = common.stored(training_rows(spark, 0, pages), "html-nodes")
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=11, maxBins=32).fit(rows)
     return _trees(model, DEPTH)
