@@ -204,13 +204,16 @@ def similar_examples(neighbours: DataFrame, emails: DataFrame, triage: DataFrame
 
 
 def find_similar(query_vectors: DataFrame, store: DataFrame, emails: DataFrame, triage: DataFrame,
-                 categories: DataFrame, k: int = RAG_LIMIT, dims: int | None = None) -> DataFrame:
-    """E4 ``findSimilar`` in bulk: (query_id, vec) x stored (email_id, embedding)."""
+                 categories: DataFrame, k: int = RAG_LIMIT, dims: int | None = None, neighbours=None) -> DataFrame:
+    """E4 ``findSimilar`` in bulk: (query_id, vec) x stored (email_id, embedding).
+
+    ``neighbours`` (queries, stored, m) -> K1's output takes the place of the exact search, as ``ivf.searcher`` does
+    (its index then holds the stored vectors)."""
     q = query_vectors.select(F.col("query_id").alias("id"), as_double(F.col("vec")).alias("vec"))
     c = store.select(F.col("email_id").alias("id"), as_double(F.col("embedding")).alias("vec"))
     if dims is not None:  # rejected vectors are the caller's to log; they must not reach the kernel
         q, c = (x.where(F.size("vec") == dims) for x in (q, c))
-    nb = blocked_topk(q, c, RAG_OVERFETCH * k, exclude_self=True)
+    nb = (neighbours or blocked_topk)(q, c, RAG_OVERFETCH * k)
     return similar_examples(nb, emails, triage, categories, k)
 
 

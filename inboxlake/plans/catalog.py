@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
 from ..sources.fixtures import Fixture
+from ..sources.tables import fingerprint
 from .oracle import with_views
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,20 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+_SHARED: dict[str, tuple] = {}
+
+
+def shared(fx: Fixture, name: str, run: Callable[[Fixture], object]):
+    """Result of ``run`` that several queries read, kept for the last data folder it ran on.
+
+    It is run again in another session or where the folder's files have changed; only one result a name is held.
+    """
+    key = (fx.spark.sparkContext.applicationId, fx.t.sf_dir, fingerprint(fx.spark, fx.t.sf_dir))
+    if _SHARED.get(name, (None,))[0] != key:
+        _SHARED[name] = (key, run(fx))
+    return _SHARED[name][1]
+
+
 def queries() -> dict[str, Builder]:
     _load()
     return {k: v[0] for k, v in REGISTRY.items()}

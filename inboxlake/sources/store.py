@@ -120,3 +120,24 @@ def fs_touch(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     out = fs.create(p, True)
     out.close()
+
+
+def fs_size(spark: SparkSession, path: str) -> int:
+    """Bytes below ``path`` (0 if it isn't there)."""
+    fs, p = _fs(spark, path)
+    return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
+
+
+def fs_files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, bytes, time of change) of the files below ``path``."""
+    fs, p = _fs(spark, path)
+    found, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return found
+
+
+def fs_delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)

@@ -17,6 +17,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files of a data folder's tables: changed data has another fingerprint."""
+    from .store import fs_files
+    return tuple(sorted(fs_files(spark, sf_dir)))
+
+
 class Tables:
     """Attribute access to the parquet tables of one data folder (lazily read)."""
 

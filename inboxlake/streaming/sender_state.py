@@ -1,28 +1,29 @@
 """Rolling sender statistics with retraction (ST5, A8-A10 on a stream).
 
-A stream of triage results is keyed by message.  ``applyInPandasWithState``
-keeps one small state row per message: the snapshot it last folded in.  So a
-micro-batch loads and rewrites only the rows of its own messages, however many
-are stored.  A newer result emits a retraction of the old snapshot and the new
-contribution; an older or repeated one emits nothing.  The emitted signed
-deltas go to an append-only parquet log (exactly-once with the checkpoint);
-sender statistics are sums over that log per sender / (sender, label) --
-associative, so a hot sender is pre-aggregated in every map task.
-fold + revisions == rebuild.
+A stream of triage results is keyed by message.  A bucketed table holds one
+small row per message: the snapshot it last folded in.  A micro-batch is
+reduced to each message's newest result, meets the stored snapshots of its own
+messages only (``buckets.lookup``), and writes signed deltas: the retraction of
+an older snapshot and the new contribution; an older or repeated result writes
+nothing.  All of it is SQL on the JVM, no Python call a message.  Deltas are
+written per batch, so a batch that is run again replaces its own and adds
+nothing twice.  Sender statistics are sums over the delta log per sender /
+(sender, label) -- associative, so a hot sender is pre-aggregated in every map
+task.  fold + revisions == rebuild.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.latest import latest_per_key
 from ..operators.reputation import iso8601
 from ..schemas import RECENT_ACTIONS_LIMIT
+from ..sources.store import checkpoint_table
+from .buckets import BucketedTable
 from .runner import fresh_paths, run_available_now
 
 # what a message folds in; times are microseconds since the epoch (seen_at: its arrival, at: its result)
@@ -30,57 +31,70 @@ SNAP_SCHEMA = ("triage_id long, sender_email string, category string, action str
                "confidence long, seen_at long, at long")
 SNAP_COLS = [c.split()[0] for c in SNAP_SCHEMA.split(", ")]
 DELTA_SCHEMA = f"email_id long, {SNAP_SCHEMA}, new_email long, sign long"
-_OUT_COLS = [c.split()[0] for c in DELTA_SCHEMA.split(", ")]
-_WEIGHT, _CONFIDENCE = SNAP_COLS.index("urgency_weight"), SNAP_COLS.index("confidence")
+NUMBERS = ("urgency_weight", "confidence")  # a null adds nothing to a sum; a retraction takes them back
+COMPACT_EVERY = 16
 
 
-def _retraction(snap: tuple) -> tuple:
-    return tuple(-v if i in (_WEIGHT, _CONFIDENCE) else v for i, v in enumerate(snap))
+def snapshots(spark: SparkSession, path: str) -> BucketedTable:
+    return BucketedTable(spark, path, f"email_id long, {SNAP_SCHEMA}", "email_id")
 
 
-def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold one message's new results into its snapshot.
+def _signed(side: str, sign: int, new_email: Column) -> Column:
+    cols = [(F.col(f"{side}.{c}") * sign if c in NUMBERS else F.col(f"{side}.{c}")).alias(c) for c in SNAP_COLS]
+    return F.struct(*cols, new_email.cast("long").alias("new_email"), F.lit(sign).cast("long").alias("sign"))
 
-    The newest result wins; if the stored snapshot is newer or equal nothing is
-    emitted; otherwise the old one is retracted (sign -1) and the new one added
-    (sign +1, new_email = 1 if first seen).
+
+def fold(newest: DataFrame, stored: DataFrame) -> DataFrame:
+    """Signed deltas of each message's newest result against its stored snapshots (columns of DELTA_SCHEMA).
+
+    Of several stored snapshots the newest counts.  A result that isn't newer gives nothing.
+    """
+    old = (stored.groupBy("email_id").agg(F.max_by(F.struct(*SNAP_COLS), F.col("triage_id")).alias("old")))
+    new = newest.select("email_id", F.struct(*SNAP_COLS).alias("new"))
+    first = F.col("old").isNull()
+    moved = (~F.col("old.sender_email").eqNullSafe(F.col("new.sender_email"))).cast("long")
+    return (new.join(old, "email_id", "left").where(first | (F.col("old.triage_id") < F.col("new.triage_id")))
+            .select("email_id", F.explode(F.when(first, F.array(_signed("new", 1, F.lit(1)))).otherwise(
+                F.array(_signed("old", -1, -moved), _signed("new", 1, moved)))).alias("d"))
+            .select("email_id", "d.*"))
+
+
+def fold_into(table: BucketedTable, log: str, compact_every: int = COMPACT_EVERY) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that folds results into the snapshots and writes their deltas below ``log``."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        newest = checkpoint_table(table.spark, latest_per_key(batch, "email_id", "triage_id", SNAP_COLS), "newest")
+        deltas = fold(newest, table.lookup(newest, before=batch_id))
+        path = f"{log}/batch={batch_id}"
+        deltas.write.mode("overwrite").parquet(path)
+        # what was folded in becomes the snapshot: read back, so both say the same
+        table.write(table.spark.read.schema(DELTA_SCHEMA).parquet(path).where("sign = 1"), batch_id,
+                    rows=newest.count())
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            table.compact(batch_id, lambda rows: latest_per_key(rows, "email_id", "triage_id", SNAP_COLS))
+    return run
+
+
+def fold_stream(spark: SparkSession, source_path: str, schema, sink: str | None = None,
+                checkpoint: str | None = None) -> DataFrame:
+    """Run the result stream (email_id and the columns of ``SNAP_SCHEMA``) to completion; return the delta log.
+
+    ``sink`` and ``checkpoint`` belong to the caller: called again with the same two, the stream goes on where it
+    stopped.  Without them a run gets new ones.
     """
-    best = None
-    for p in pdfs:
-        if len(p):
-            row = p.iloc[int(p["triage_id"].to_numpy().argmax())]
-            if best is None or row["triage_id"] > best["triage_id"]:
-                best = row
-    if best is None:
-        return
-    new = tuple(best[c].item() if hasattr(best[c], "item") else best[c] for c in SNAP_COLS)
-    old = tuple(state.get) if state.exists else None
-    if old is not None and old[0] >= new[0]:
-        return
-    state.update(new)
-    out = [] if old is None else [(key[0], *_retraction(old), 0, -1)]
-    out.append((key[0], *new, int(old is None), 1))
-    yield pd.DataFrame(out, columns=_OUT_COLS)
-
-
-def fold_stream(spark: SparkSession, source_path: str, schema) -> DataFrame:
-    """Run the result stream (email_id and the columns of ``SNAP_SCHEMA``) to completion; return the delta log."""
-    sink, ckpt = fresh_paths(spark, "sender_deltas")
-    numbers = ("urgency_weight", "confidence")  # a null adds nothing to a sum
+    if sink is None or checkpoint is None:
+        sink, checkpoint = fresh_paths(spark, "sender_deltas")
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_path)
-              .select("email_id", *[F.coalesce(c, F.lit(0)).alias(c) if c in numbers else F.col(c) for c in SNAP_COLS]))
-    deltas = stream.groupBy("email_id").applyInPandasWithState(
-        _fold, DELTA_SCHEMA, SNAP_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    run_available_now(deltas.writeStream.format("parquet").option("path", sink)
-                      .option("checkpointLocation", ckpt).outputMode("append"))
-    return spark.read.schema(DELTA_SCHEMA).parquet(sink)
+              .select("email_id", *[F.coalesce(c, F.lit(0)).alias(c) if c in NUMBERS else F.col(c) for c in SNAP_COLS]))
+    run_available_now(stream.writeStream.foreachBatch(fold_into(snapshots(spark, f"{sink}/snapshots"), f"{sink}/deltas"))
+                      .option("checkpointLocation", checkpoint))
+    return spark.read.schema(DELTA_SCHEMA).parquet(f"{sink}/deltas")
 
 
 def stats_from_deltas(deltas: DataFrame) -> DataFrame:
     """Sender scalars from the delta log (A7 as sums; averages derived)."""
     s = deltas.groupBy("sender_email").agg(
         F.sum("new_email").alias("email_count"), F.sum("urgency_weight").alias("urgency_sum"),
-        F.sum("confidence").alias("confidence_sum"), F.max("seen_at").alias("seen_at"))
+        F.sum("confidence").alias("confidence_sum"), F.max("seen_at").alias("seen_at")).where("email_count > 0")
     return s.select("sender_email", "email_count",
                     (F.col("urgency_sum") / F.col("email_count")).alias("avg_urgency_score"),
                     (F.col("confidence_sum") / F.col("email_count")).alias("avg_confidence"),
