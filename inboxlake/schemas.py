@@ -30,6 +30,8 @@ PAGE_SIZE = 25
 DASHBOARD_RECENT = 10
 INITIAL_FETCH_DAYS = 3
 MAX_ATTEMPTS = 3
+# seconds before a failed stage is tried again
+BACKOFF_SECONDS = {"poll": 30, "anonymize": 15, "triage": 20, "embed": 15}
 DEFAULT_SENDER = "unknown@unknown"
 DEFAULT_SUBJECT = "(no subject)"
 # PHP trim() character set
