@@ -1,5 +1,5 @@
 """Category resolution and lifecycle: routing (P12), active-only projection (P15),
-resolve (C1), get-or-create (S9), seed upsert (S10), merge (C3), commands (C4),
+resolve (C1), get-or-create (S9), seed upsert (S10), merges and their chains (C3), commands and edits (C4),
 delete with null-out (S16) and prompt options (C5).
 
 Categories are a taxonomy (tens to thousands of rows).  No broadcast hint is
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import DEFAULT_CONFIDENCE_THRESHOLD, php_trim
+from ..sources.store import checkpoint_table
 
 
 def effective_threshold(threshold: Column) -> Column:
@@ -135,6 +136,64 @@ def merge_categories(triage: DataFrame, categories: DataFrame, merges: DataFrame
     return t, c
 
 
+def merge_roots(categories: DataFrame) -> DataFrame:
+    """Where each category's chain of merges ends: (id, root_id, hops, in_cycle).
+
+    Pointers jump (each round a category takes its target's target), so a chain of n merges is resolved in log2(n)
+    rounds of one equi-join, however long.  A target that isn't there ends the chain before it.  A category whose
+    chain runs into a cycle has no root: root_id and hops null, in_cycle true.
+    """
+    spark = categories.sparkSession
+    ids = categories.select(F.col("id").alias("_t"))
+    step = (categories.join(ids, F.col("merged_into_id") == F.col("_t"), "left")
+            .select("id", F.coalesce("_t", "id").alias("at"), F.col("_t").isNotNull().cast("long").alias("hops")))
+    step = checkpoint_table(spark, step, "merge-roots")
+    ends = step.where("hops = 0").select(F.col("id").alias("_end"))
+    for _ in range(max(1, step.count() - 1).bit_length()):
+        there = step.select(F.col("id").alias("_a"), F.col("at").alias("_at"), F.col("hops").alias("_hops"))
+        step = checkpoint_table(spark, step.join(there, F.col("at") == F.col("_a")).select(
+            "id", F.col("_at").alias("at"), (F.col("hops") + F.col("_hops")).alias("hops")), "merge-roots")
+        if step.join(ends, F.col("at") == F.col("_end"), "left_anti").isEmpty():
+            break
+    cycle = F.col("_end").isNull()
+    return step.join(ends, F.col("at") == F.col("_end"), "left").select(
+        "id", F.col("_end").alias("root_id"), F.when(~cycle, F.col("hops")).alias("hops"), cycle.alias("in_cycle"))
+
+
+def compress_merges(triage: DataFrame, categories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """C3 over chains: results and merged categories point to the end of their chain; members of a cycle stay as
+    they are.  ``llm_category_id`` (history) is untouched.  Returns (triage', categories')."""
+    roots = merge_roots(categories).where(F.col("hops") > 0).select(F.col("id").alias("_m"), F.col("root_id").alias("_root"))
+    t = (triage.join(roots, F.col("category_id") == F.col("_m"), "left")
+         .withColumn("category_id", F.coalesce("_root", "category_id")).drop("_m", "_root"))
+    c = (categories.join(roots, F.col("id") == F.col("_m"), "left")
+         .withColumn("merged_into_id", F.coalesce("_root", "merged_into_id")).drop("_m", "_root"))
+    return t, c
+
+
+def edit_categories(categories: DataFrame, edits: DataFrame) -> DataFrame:
+    """C4: renames and new descriptions, the latest given value of each field on its own.
+
+    ``edits``: (cmd_id, ts, category_id, new_name, new_description), a null leaves the field as it is.  A blank name
+    is no name.  A name that another category has is refused; of several categories that take the same new name the
+    one whose command came first has it.
+    """
+    order = F.struct("ts", "cmd_id")
+    name = F.btrim("new_name")
+    given = edits.withColumn("new_name", F.when(name != "", name))
+    taken = categories.select(F.col("name").alias("new_name"), F.col("id").alias("_owner"))
+    names = (given.where(F.col("new_name").isNotNull()).groupBy("category_id")
+             .agg(F.max_by(F.struct("new_name", "ts", "cmd_id"), order).alias("n")).select("category_id", "n.*")
+             .join(taken, "new_name", "left").where(F.col("_owner").isNull()))
+    names = names.groupBy("new_name").agg(F.min_by("category_id", order).alias("_n"))
+    texts = (given.where(F.col("new_description").isNotNull()).groupBy(F.col("category_id").alias("_d"))
+             .agg(F.max_by("new_description", order).alias("new_description")))
+    return (categories.join(names, F.col("id") == F.col("_n"), "left").join(texts, F.col("id") == F.col("_d"), "left")
+            .withColumn("name", F.coalesce("new_name", "name"))
+            .withColumn("description", F.coalesce("new_description", "description"))
+            .drop("_n", "_d", "new_name", "new_description"))
+
+
 def delete_categories(triage: DataFrame, categories: DataFrame, deletes: DataFrame,
                       system_flag: Column) -> tuple[DataFrame, DataFrame]:
     """Delete categories (system defaults refused) and null out every reference

@@ -138,6 +138,8 @@ def with_views(body: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS (\n{VIEWS[n]}\n)" for n in _ORDER if n in needed)
     stripped = body.lstrip()
+    if stripped[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{stripped[15:]}"
     if stripped[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{stripped[5:]}"
     return f"WITH {ctes}\n{body}"

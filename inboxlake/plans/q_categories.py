@@ -175,3 +175,62 @@ def category_options(fx):
     """Active options for the prompt, by name, from the taxonomy the
     command stream produced, with their position."""
     return cats.ranked_options(_commanded(fx)).select("id", "name", "pos")
+
+
+# a taxonomy as long as the documents: chains of five merges, every tenth of them ending in a cycle
+_CHAINS = """SELECT doc_id AS id, CASE WHEN doc_id % 6 < 5 THEN doc_id + 1 WHEN doc_id % 60 = 59 THEN doc_id - 3 END AS merged_into_id
+FROM documents"""
+
+
+def _chains(fx):
+    i = F.col("doc_id")
+    return fx.t.documents.select(i.alias("id"), F.when(i % 6 < 5, i + 1).when(i % 60 == 59, i - 3).alias("merged_into_id"))
+
+
+_ROOTS = f"""WITH RECURSIVE c AS ({_CHAINS}),
+walk(id, here, hops) AS (SELECT id, id, 0 FROM c
+  UNION ALL SELECT w.id, n.id, w.hops + 1 FROM walk w JOIN c ON c.id = w.here JOIN c n ON n.id = c.merged_into_id WHERE w.hops < 12),
+ends AS (SELECT w.id, w.here AS root_id, w.hops FROM walk w JOIN c ON c.id = w.here
+  WHERE c.merged_into_id IS NULL OR c.merged_into_id NOT IN (SELECT id FROM c))
+"""
+
+
+@query("merge_chains", oracle=f"""{_ROOTS}SELECT c.id, e.root_id, CAST(e.hops AS BIGINT) AS hops, e.id IS NULL AS in_cycle
+FROM c LEFT JOIN ends e ON e.id = c.id""")
+def merge_chains(fx):
+    """The end of every chain of merges; chains that run into a cycle have none."""
+    return cats.merge_roots(_chains(fx))
+
+
+@query("merge_compressed", oracle=f"""{_ROOTS}SELECT t.id, coalesce(e.root_id, t.category_id) AS category_id, t.llm_category_id
+FROM triage_v t LEFT JOIN ends e ON e.id = t.category_id AND e.hops > 0""")
+def merge_compressed(fx):
+    """C3 over chains: every result points to the end of its category's chain, its history stays."""
+    t, _ = cats.compress_merges(fx.triage.select("id", "category_id", "llm_category_id"), _chains(fx))
+    return t.select("id", F.col("category_id").cast("bigint").alias("category_id"), "llm_category_id")
+
+
+_EDITS = """SELECT event_id AS cmd_id, ts, 1 + event_id % 20 AS category_id,
+  CASE WHEN event_id % 9 = 0 THEN '  ' WHEN event_id % 3 = 0 THEN ' Topic ' || CAST(event_id % 13 AS VARCHAR)
+       WHEN event_id % 7 = 0 THEN (SELECT min(name) FROM categories_full_v) END AS new_name,
+  CASE WHEN event_id % 2 = 0 THEN 'about ' || CAST(event_id AS VARCHAR) END AS new_description FROM events"""
+
+
+@query("category_edits", oracle=f"""WITH e AS ({_EDITS}),
+n AS (SELECT category_id, trim(new_name) AS new_name, ts, cmd_id FROM e WHERE trim(new_name) <> ''
+  QUALIFY row_number() OVER (PARTITION BY category_id ORDER BY ts DESC, cmd_id DESC) = 1),
+f AS (SELECT * FROM n WHERE new_name NOT IN (SELECT name FROM categories_full_v)
+  QUALIFY row_number() OVER (PARTITION BY new_name ORDER BY ts, cmd_id) = 1),
+d AS (SELECT category_id, new_description FROM e WHERE new_description IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY category_id ORDER BY ts DESC, cmd_id DESC) = 1)
+SELECT c.id, coalesce(f.new_name, c.name) AS name, coalesce(d.new_description, c.description) AS description
+FROM categories_full_v c LEFT JOIN f ON f.category_id = c.id LEFT JOIN d ON d.category_id = c.id""")
+def category_edits(fx):
+    """C4: renames and descriptions from a command per event, the latest of each field; taken names are refused."""
+    e, s = F.col("event_id"), lambda c: c.cast("string")
+    first = fx.categories_full.agg(F.min("name")).scalar()
+    edits = fx.t.events.select(
+        e.alias("cmd_id"), "ts", (1 + e % 20).alias("category_id"),
+        F.when(e % 9 == 0, "  ").when(e % 3 == 0, F.concat(F.lit(" Topic "), s(e % 13))).when(e % 7 == 0, first).alias("new_name"),
+        F.when(e % 2 == 0, F.concat(F.lit("about "), s(e))).alias("new_description"))
+    return cats.edit_categories(fx.categories_full, edits).select("id", "name", "description")

@@ -168,3 +168,30 @@ def sender_summary(fx):
 def sender_stats_full(fx):
     """Q5: the complete sender_stats rows (maps, modes, recent list) as a rebuild writes them."""
     return rep.sender_stats(_folded(fx))
+
+
+@query("sender_stats_rows", oracle=f"""WITH m AS ({_MODE_SQL}), r AS ({RECENT_SQL})
+SELECT sender_email, 'emails' AS item, CAST(count(*) AS VARCHAR) AS value FROM folded_v GROUP BY sender_email
+UNION ALL SELECT sender_email, 'domain', arg_min(sender_domain, id) FROM folded_v GROUP BY sender_email
+UNION ALL SELECT sender_email, 'urgency', CAST(sum(urgency_weight) AS VARCHAR) FROM folded_v GROUP BY sender_email
+UNION ALL SELECT sender_email, 'confidence', CAST(sum(confidence) AS VARCHAR) FROM folded_v GROUP BY sender_email
+UNION ALL SELECT sender_email, kind || ' ' || label, CAST(n AS VARCHAR) FROM hist_v
+UNION ALL SELECT sender_email, 'most common category', most_common_category FROM m
+UNION ALL SELECT sender_email, 'most common action', most_common_action FROM m
+UNION ALL SELECT sender_email, 'recent ' || CAST(pos AS VARCHAR), concat_ws(' | ', action, category, "at") FROM r""")
+def sender_stats_rows(fx):
+    """Q5: every value of the complete sender_stats rows (maps, modes, recent list), a row each."""
+    full = rep.sender_stats(_folded(fx))
+    text = lambda c: F.col(c).cast("string").alias("value")
+    one = lambda item, c: full.select("sender_email", F.lit(item).alias("item"), text(c))
+    out = one("emails", "email_count")
+    for item, c in (("domain", "sender_domain"), ("urgency", "urgency_sum"), ("confidence", "confidence_sum"),
+                    ("most common category", "most_common_category"), ("most common action", "most_common_action")):
+        out = out.unionByName(one(item, c))
+    for kind in ("category", "action"):
+        bins = full.select("sender_email", F.explode(f"{kind}_histogram").alias("label", "n"))
+        out = out.unionByName(bins.select("sender_email", F.concat(F.lit(f"{kind} "), "label").alias("item"), text("n")))
+    recent = full.select("sender_email", F.posexplode("recent_actions").alias("i", "r"))
+    return out.unionByName(recent.select(
+        "sender_email", F.concat(F.lit("recent "), (F.col("i") + 1).cast("string")).alias("item"),
+        F.concat_ws(" | ", "r.action", "r.category", "r.at").alias("value")))
