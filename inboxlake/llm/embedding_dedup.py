@@ -8,6 +8,8 @@ vectors meet; only for those are vectors shipped, in blocks of bounded size, and
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: With 6 tables of 3 hashes, pairs at cosine 0.95 in 64 dimensions meet with probability 0.98; closer ones more often.
+#: Least tables, and hashes of each.  With 6 tables pairs at cosine 0.95 in 64 dimensions meet with probability 0.98,
+#: closer ones more often; a hash separates more in more dimensions, so there is a table more for each doubling.
 TABLES, CODES = 6, 3
 COSINE = 0.95
 #: Vectors of one block of a bucket, about.
@@ -66,8 +69,17 @@ def _buckets(code: np.ndarray, dims: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def tables_for(dims: int) -> int:
+    """Tables for vectors of this many dimensions."""
+    return max(TABLES, math.ceil(math.log2(max(1, dims))))
+
+
 def _unit(lists) -> np.ndarray:
+    """Rows scaled to length one; by the largest component first, so no square over- or underflows."""
     x = np.asarray(lists, np.float64)
+    # a power of two: exact, and finite for the smallest numbers as well
+    _, exponent = np.frexp(np.abs(x).max(axis=1, initial=0))
+    x = np.ldexp(x, -exponent[:, None])
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -163,13 +175,14 @@ def _met(spark_rows: DataFrame, cosine: float) -> DataFrame:
     return spark_rows.mapInArrow(run, "id long, n long, root long")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int | None = None,
+                    block: int = BLOCK) -> DataFrame:
     """Per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Equal vectors are one class before anything is compared (told apart by 128 bits of hash).  Buckets of any size
     are cut into blocks of about ``block`` filed and probing vectors, every pair of blocks is a unit of work of its
     own, and a unit returns a row per vector, not per pair.  Links found are exact; pairs that meet in no table are
-    missed (see TABLES).
+    missed (see TABLES; ``tables`` follows the longest vector if not given).
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and rows without vec_id, link with
     nothing: n_links 0, themselves their component.  Vectors of different lengths don't link.  Rows equal in vec_id
@@ -182,6 +195,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("v"),
                           F.coalesce(usable, F.lit(False)).alias("usable"),
                           F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
+    if tables is None:
+        tables = tables_for(rows.where("usable").agg(F.coalesce(F.max(F.size("v")), F.lit(1))).first()[0])
     members = common.stored(rows.select("vec_id", "usable", "h1", "h2"), "vectors")
     classes = rows.where("usable").groupBy("h1", "h2").agg(
         F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
