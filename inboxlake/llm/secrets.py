@@ -21,14 +21,16 @@ from . import common
 #: A run of 16 or more with a digit, or of 20 or more without.
 CANDIDATE = (r"(?<![A-Za-z0-9+/_\-])(?:(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+|[A-Za-z+/_\-]{20,}+)")
 _NAMES = r"(?i:passw(?:or)?d|pwd|secret|token|api[_\-]?key)"
-_ASSIGN = r"[\"']?\s{0,8}(?:=>|:=|[=:])\s{0,8}"
+_SIGN = r"[\"']?\s*+(?:=>|:=|[=:])\s*+"
 #: Texts that may hold a value assigned to a credential's name or a URL with a user part.
-_PLACES = _NAMES + r"[\"']?\s*[=:]|://[^\s/]*@"
-#: Values in these places whatever their length and symbols (unquoted ones without a comma, semicolon or full stop at
-#: their end), then CANDIDATE.
-PLACED = (r"(?<=[=:>\s\"'])(?=\S)(?:(?<=" + _NAMES + _ASSIGN + r"\")[^\"\s]+|(?<=" + _NAMES + _ASSIGN + r"')[^'\s]+"
-          r"|(?<=" + _NAMES + _ASSIGN + r")[^\s\"'=:>]\S*?(?=[.,;]*(?:\s|$)))"
-          r"|(?<=://[^\s/@:]{0,99}:)[^\s/]+(?=@[^\s/@])|(?<=://)[^\s/@:]+(?=@)|" + CANDIDATE)
+_PLACES = _NAMES + r"[\"']?\s*+[=:]|://[^\s/]*@"
+#: Places whose value counts whatever its length and symbols.  What leads to the value is matched, the value itself is
+#: looked at (group 1), so a value may lead to the next one.  Unquoted ones end without a comma, semicolon or full stop.
+PLACES = {
+    "assigned": _NAMES + _SIGN + r"[\"']?(?=((?<=\")[^\"\s]+|(?<=')[^'\s]+"
+                                 r"|(?<![\"'])[^\s\"'=:>]\S*?(?=[.,;]*(?:\s|$))))",
+    "password": r"://[^\s/@:]*+:(?=([^\s/]+)(?=@[^\s/@]))",
+    "user": r"://(?=([^\s/@:]+)@)"}
 #: Context characters kept on either side.
 CONTEXT = 40
 #: Documents that must hold a word of the dictionary.
@@ -49,30 +51,59 @@ def _share(value: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(value, f"[^{chars}]", "")) / F.length(value)
 
 
+def _sums(lengths: Column) -> Column:
+    """Running sums of an array of numbers."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    return F.aggregate(lengths, start, lambda s, x: F.struct(
+        (s["at"] + x).alias("at"), F.concat(s["all"], F.array(s["at"] + x)).alias("all")))["all"]
+
+
+def _lengths(pieces: Column, matches: Column) -> Column:
+    return F.transform(F.arrays_zip(pieces.alias("p"), matches.alias("m")), lambda x: (
+        F.coalesce(F.length(x["p"]), F.lit(0)) + F.coalesce(F.length(x["m"]), F.lit(0))))
+
+
+def _one(value: Column, start: Column, before: Column, after: Column, place: Column) -> Column:
+    return F.struct(value.alias("value"), start.alias("start"), F.right(before, F.lit(CONTEXT)).alias("before"),
+                    F.left(after, F.lit(CONTEXT)).alias("after"), place.alias("place"))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, path, start (characters from 0), value, before, after per candidate of ``docs``
-    (doc_id, text, source)."""
+    """doc_id, text_key, path, start (characters from 0), value, before, after, place per candidate of ``docs``
+    (doc_id, text, source).
+
+    ``place`` tells a value in one of PLACES; the others are runs (CANDIDATE) that overlap none of those.
+    """
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
                         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"),
                         F.col("text").cast("string").alias("__t"))
-    # the look-behinds of PLACED are slow: only where such a place is
-    placed = F.col("__t").rlike(_PLACES)
-    found = found.withColumn("__placed", placed).where(F.col("__placed") | F.col("__t").rlike(CANDIDATE))
-    parts = found.withColumns({
-        "__m": F.when(F.col("__placed"), F.regexp_extract_all("__t", F.lit(PLACED), F.lit(0)))
-        .otherwise(F.regexp_extract_all("__t", F.lit(CANDIDATE), F.lit(0))),
-        "__p": F.when(F.col("__placed"), F.split("__t", PLACED, -1)).otherwise(F.split("__t", CANDIDATE, -1))})
-    lengths = F.arrays_zip(F.transform("__p", F.length).alias("p"), F.transform("__m", F.length).alias("m"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(lengths, start, lambda s, x: F.struct(
-        (s["at"] + x["p"] + F.coalesce(x["m"], F.lit(0))).alias("at"),
-        F.concat(s["starts"], F.array(s["at"] + x["p"])).alias("starts")))["starts"]
-    each = F.transform("__m", lambda m, i: F.struct(
-        m.alias("value"), F.get("__s", i).alias("start"),
-        F.right(F.get("__p", i), F.lit(CONTEXT)).alias("before"),
-        F.left(F.get("__p", i + 1), F.lit(CONTEXT)).alias("after")))
-    return (parts.withColumn("__s", starts).select("doc_id", "text_key", "path", F.explode(each).alias("c"))
-            .select("doc_id", "text_key", "path", "c.start", "c.value", "c.before", "c.after"))
+    found = (found.withColumn("__placed", F.col("__t").rlike(_PLACES))
+             .where(F.col("__placed") | F.col("__t").rlike(CANDIDATE)))
+    empty = F.array().cast("array<string>")
+    only = lambda c: F.when(F.col("__placed"), c).otherwise(empty)
+    cut = {"__m": F.regexp_extract_all("__t", F.lit(CANDIDATE), F.lit(0)), "__p": F.split("__t", CANDIDATE, -1)}
+    for place, pattern in PLACES.items():
+        cut |= {f"__m_{place}": only(F.regexp_extract_all("__t", F.lit(pattern), F.lit(0))),
+                f"__v_{place}": only(F.regexp_extract_all("__t", F.lit(pattern), F.lit(1))),
+                f"__p_{place}": only(F.split("__t", pattern, -1))}
+    parts = found.withColumns(cut)
+    parts = parts.withColumns({"__e": _sums(_lengths(F.col("__p"), F.col("__m")))}
+                              | {f"__e_{place}": _sums(_lengths(F.col(f"__p_{place}"), F.col(f"__m_{place}")))
+                                 for place in PLACES})
+    runs = F.transform("__m", lambda m, i: _one(
+        m, F.get("__e", i) - F.length(m), F.get("__p", i), F.get("__p", i + 1), F.lit(None).cast("string")))
+
+    def in_place(place: str) -> Column:
+        return F.transform(f"__v_{place}", lambda v, i: _one(
+            v, F.get(f"__e_{place}", i), F.concat(F.get(f"__p_{place}", i), F.get(f"__m_{place}", i)),
+            F.substr(F.get(f"__p_{place}", i + 1), F.length(v) + 1), F.lit(place)))
+    placed = F.concat(*[in_place(place) for place in PLACES])
+    end = lambda c: c["start"] + F.length(c["value"])
+    parts = parts.withColumns({"__placed_values": placed, "__runs": runs})
+    free = F.when(F.size("__placed_values") == 0, F.col("__runs")).otherwise(F.filter("__runs", lambda r: ~F.exists(
+        "__placed_values", lambda v: (v["start"] < end(r)) & (r["start"] < end(v)))))
+    return (parts.select("doc_id", "text_key", "path", F.explode(F.concat("__placed_values", free)).alias("c"))
+            .select("doc_id", "text_key", "path", "c.*"))
 
 
 def dictionary(docs: DataFrame, word_docs: int = WORD_DOCS) -> DataFrame:
@@ -133,8 +164,7 @@ def label_findings(found: DataFrame) -> DataFrame:
     credential's name or in a URL's user part, 0 for plain numbers and strings without a digit elsewhere, null (to be
     judged) for all others."""
     issued = F.col("value").rlike("^AKIA[0-9A-Z]{16}$")
-    named = (F.col("before").rlike(_NAMES + _ASSIGN + r"[\"']?$")
-             | (F.col("before").rlike(r"://[^\s/@:]*:$") & F.col("after").startswith("@")))
+    named = F.coalesce(F.col("place").isin("assigned", "password"), F.lit(False))
     digit, other = F.col("value").rlike("[0-9]"), F.col("value").rlike("[^0-9]")
     return found.withColumn("label", F.when(issued | (named & digit & other), 1.0)
                             .when(~named & (~digit | ~other), 0.0))
@@ -167,7 +197,8 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     repeated documents give their findings each; an empty table gives no rows; other columns are ignored.
     """
     words = common.stored(dictionary(docs), "dictionary")
-    found = common.stored(label_findings(describe(candidates(docs), words, bigrams(words))), "candidates")
+    cut = common.stored(candidates(docs), "cut")  # the texts are cut once
+    found = common.stored(label_findings(describe(cut, words, bigrams(words))), "candidates")
     model = train(found if labelled is None else labelled)
     out = ["doc_id", "text_key", "start", "value", "label"]
     if model is None:
@@ -189,9 +220,11 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = MARK) -> DataFrame:
     joined = docs.join(spans, same, "left")
     text = F.col("text")
     first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    # a span that begins within the one before goes with it
     cut = F.aggregate("__spans", first, lambda s, x: F.struct(
-        F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark)).alias("out"),
-        (x["start"] + x["n"]).alias("at")))
+        F.when(x["start"] < s["at"], s["out"]).otherwise(
+            F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).alias("out"),
+        F.greatest(s["at"], x["start"] + x["n"]).alias("at")))
     clean = F.concat(cut["out"], F.substring(text, cut["at"] + 1, F.length(text)))
     out = {"text": F.when(F.col("__spans").isNull(), text).otherwise(clean)}
     if "n_chars" in docs.columns:
