@@ -10,6 +10,7 @@ attribute ``dom.LABEL`` of its outermost element, which no feature sees.
 from __future__ import annotations
 
 import random
+import re
 
 from .dom import LABEL
 
@@ -169,14 +170,16 @@ class _Writer:
         blocks = [self.block() for _ in range(self.rng.choice((0, 1, 1, 2, 3, 5, 8, 14, 30)))]
         if not blocks or self.rng.random() < 0.3:
             blocks.insert(0, self.p(self.text(1, 6)))
-        if len(blocks) > 1 and self.rng.random() < 0.3:
+        for _ in range(self.rng.choice((0, 0, 0, 1, 2)) if len(blocks) > 1 else 0):
             blocks.insert(self.some(1, len(blocks)), self.rng.choice((self.advert, self.share, self.notice, self.side))())
         if self.rng.random() < 0.8:
             blocks.insert(0, self.rng.choice(("<h1>{}</h1>", "<h1>{}</h1>", "<h2>{}</h2>")).format(self.sentence(2, 14)))
         if self.rng.random() < 0.15:
             blocks.append(self.rng.choice((self.comments, self.side, self.share, self.form))())
-        inner = "".join(blocks)
         kind = self.rng.random()
+        if kind < 0.06:  # blocks with no element around them
+            return "".join(b if LABEL in b.split(">", 1)[0] else re.sub(r"^<(\w+)", rf'<\1 {LABEL}="1"', b) for b in blocks)
+        inner = "".join(blocks)
         if kind < 0.45:
             return self.part("article", "content" if self.rng.random() < 0.4 else None, inner, 1)
         if kind < 0.6:
@@ -190,6 +193,8 @@ class _Writer:
         inner = "".join(middle)
         for _ in range(self.rng.choice((0, 0, 1, 2))):
             inner = self.part(self.rng.choice(("div", "div", "main", "section")), "content", inner, None, 0.3)
+        if self.rng.random() < 0.04:  # nothing but the article
+            return f"<body>{self.article()}</body>"
         head = [often(0.3, self.notice), often(0.5, self.header), often(0.75, self.menu), often(0.15, self.advert)]
         self.rng.shuffle(head)
         body = "".join(head) + inner + often(0.15, self.form) + often(0.8, self.footer) + often(0.2, self.notice)

@@ -24,7 +24,7 @@ TEXT = ("A headline & more\nFirst paragraph, with a link and some bold words. It
 
 @pytest.fixture(scope="module")
 def trees(spark):
-    return html_extract.fit(spark, 500)
+    return html_extract.fit(spark)
 
 
 def test_held_out_layouts(trees):
@@ -41,6 +41,28 @@ def test_held_out_layouts(trees):
     assert held[inner].all()  # and no element without anything below
 
 
+S = "The committee met on Tuesday to discuss the new budget, which had been delayed twice. Members wanted more time."
+LAYOUTS = {
+    "divs": ("<div id='header'><a href='/'>My Site</a> The best site</div><div id='menu'><a href=1>Home</a><a href=2>News</a>"
+             f"</div><div id='content'><h1>Delayed again</h1><p>{S}</p><p>{S}</p></div><div id='sidebar'><h3>Latest</h3><ul><li>"
+             "<a href=x>One story</a></ul></div><div id='comments'><div class='comment'><p>I think this is wrong, really.</p>"
+             "</div></div><div id='footer'>Copyright 2020. All rights reserved.</div>", f"Delayed again\n{S}\n{S}"),
+    "no attributes": ("<div><a href='/'>My Site</a></div><div><a href=1>Home</a> <a href=2>News</a> <a href=3>About</a></div>"
+                      f"<div><h1>Delayed again</h1><p>{S}</p><p>{S}</p><p>{S}</p></div>"
+                      "<div><a href=4>Privacy</a> &copy; 2020</div>", f"Delayed again\n{S}\n{S}\n{S}"),
+    "parts within": (f"<nav><a href=1>Home</a></nav><article><h1>T</h1><p>{S}</p><div class='newsletter'><p>Sign up for our "
+                     f"newsletter and never miss a story.</p><form><input></form></div><p>{S}</p><div class='ad'><p>Cheap flights,"
+                     f" book today.</p></div><p>{S}</p></article><div class='cookie-notice'>This site uses cookies.</div>",
+                     f"T\n{S}\n{S}\n{S}"),
+    "paragraphs alone": (f"<p>{S}</p><p>{S}</p>", f"{S}\n{S}"), "text alone": (S, S)}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_layouts_written_by_hand(trees, layout):
+    page, text = LAYOUTS[layout]
+    assert html_extract.main_texts([f"<html><body>{page}</body></html>"], trees) == [text]
+
+
 def test_extracts_rows(spark, trees):
     long_page = PAGE.replace("The last words of it.", "The last words of it. " * 20_000)
     long_text = TEXT.replace("The last words of it.", ("The last words of it. " * 20_000).strip())
