@@ -15,6 +15,7 @@ from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from . import common
 
@@ -197,8 +198,9 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     repeated documents give their findings each; an empty table gives no rows; other columns are ignored.
     """
     words = common.stored(dictionary(docs), "dictionary")
-    cut = common.stored(candidates(docs), "cut")  # the texts are cut once
+    cut = candidates(docs).persist(StorageLevel.DISK_ONLY)  # the texts are cut once; a lost executor's part again
     found = common.stored(label_findings(describe(cut, words, bigrams(words))), "candidates")
+    cut.unpersist()
     model = train(found if labelled is None else labelled)
     out = ["doc_id", "text_key", "start", "value", "label"]
     if model is None:
