@@ -598,7 +598,7 @@ def test_queries_have_results_and_plans_without_cross_joins(spark):
 def test_query_matches_sql(spark, name):
     import duckdb
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(catalog.oracle_sql()[name])
     columns = [c[0] for c in want.description]
