@@ -17,7 +17,7 @@ def pii_anonymize(fx):
     """T1 + T2: the unique placeholder mappings of every document (exploded)."""
     d = spread(fx.t.documents.select("doc_id", "text")).select("doc_id", "text", pv.detect(F.col("text")).alias("spans"))
     txt, maps = pv.anonymize_text(F.col("text"), F.col("spans"))
-    return (d.select("doc_id", F.explode(maps).alias("m"))
+    return (d.select("doc_id", F.explode_outer(maps).alias("m")).where(F.col("m").isNotNull())  # detected once: see mapping_rows
             .select("doc_id", "m.placeholder", "m.entity_type", F.length("m.original_value").alias("value_chars"),
                     "m.score"))
 
