@@ -141,17 +141,18 @@ def merge_roots(categories: DataFrame) -> DataFrame:
 
     Pointers jump (each round a category takes its target's target), so a chain of n merges is resolved in log2(n)
     rounds of one equi-join, however long.  A target that isn't there ends the chain before it.  A category whose
-    chain runs into a cycle has no root: root_id and hops null, in_cycle true.
+    chain runs into a cycle has no root: root_id and hops null, in_cycle true.  All joins are merges: a taxonomy's files
+    are small enough for the planner to broadcast it in each round, however many rows go through the driver.
     """
     spark = categories.sparkSession
-    ids = categories.select(F.col("id").alias("_t"))
+    ids = categories.select(F.col("id").alias("_t")).hint("merge")
     step = (categories.join(ids, F.col("merged_into_id") == F.col("_t"), "left")
             .select("id", F.coalesce("_t", "id").alias("at"), F.col("_t").isNotNull().cast("long").alias("hops")))
     step = checkpoint_table(spark, step, "merge-roots")
-    ends = step.where("hops = 0").select(F.col("id").alias("_end"))
+    ends = step.where("hops = 0").select(F.col("id").alias("_end")).hint("merge")
     for _ in range(max(1, step.count() - 1).bit_length()):
         there = step.select(F.col("id").alias("_a"), F.col("at").alias("_at"), F.col("hops").alias("_hops"))
-        step = checkpoint_table(spark, step.join(there, F.col("at") == F.col("_a")).select(
+        step = checkpoint_table(spark, step.join(there.hint("merge"), F.col("at") == F.col("_a")).select(
             "id", F.col("_at").alias("at"), (F.col("hops") + F.col("_hops")).alias("hops")), "merge-roots")
         if step.join(ends, F.col("at") == F.col("_end"), "left_anti").isEmpty():
             break
@@ -164,9 +165,11 @@ def compress_merges(triage: DataFrame, categories: DataFrame) -> tuple[DataFrame
     """C3 over chains: results and merged categories point to the end of their chain; members of a cycle stay as
     they are.  ``llm_category_id`` (history) is untouched.  Returns (triage', categories')."""
     roots = merge_roots(categories).where(F.col("hops") > 0).select(F.col("id").alias("_m"), F.col("root_id").alias("_root"))
-    t = (triage.join(roots, F.col("category_id") == F.col("_m"), "left")
+    # results name few of the categories: only those are joined to them
+    used = triage.select(F.col("category_id").alias("_u")).distinct().hint("merge")
+    t = (triage.join(roots.join(used, F.col("_m") == F.col("_u"), "left_semi"), F.col("category_id") == F.col("_m"), "left")
          .withColumn("category_id", F.coalesce("_root", "category_id")).drop("_m", "_root"))
-    c = (categories.join(roots, F.col("id") == F.col("_m"), "left")
+    c = (categories.join(roots.hint("merge"), F.col("id") == F.col("_m"), "left")
          .withColumn("merged_into_id", F.coalesce("_root", "merged_into_id")).drop("_m", "_root"))
     return t, c
 
