@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stem import porter_stem
-from .partitioning import spread
+from .partitioning import spread, tasks_for
 
+#: Bytes of written postings, sorted by term and so well compressed, that one task frees of repeated stems.
+STEM_BYTES = 4 << 20
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 # ---- fixed values: English stop words (the classic 127-word list) ----
@@ -62,10 +64,14 @@ def stem_map(terms: DataFrame) -> DataFrame:
 
 
 def stemmed(postings: DataFrame, key: str) -> DataFrame:
-    """Replace ``term`` by its stem (distinct vocabulary stemmed once, joined back)."""
+    """Replace ``term`` by its stem (distinct vocabulary stemmed once, joined back).
+
+    Dealt by ``key`` into as many parts as the postings need before repeated stems are dropped, so no task
+    holds more pairs when there are more.
+    """
     m = stem_map(postings)
     return (postings.join(m, "term").drop("term").withColumnRenamed("stem", "term")
-            .dropDuplicates([key, "term"]) if key else postings)
+            .repartition(tasks_for(postings, STEM_BYTES), key).dropDuplicates([key, "term"]) if key else postings)
 
 
 def build_index(docs: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
