@@ -32,6 +32,7 @@ LSH_BANDS = 24           # signature bands of K2
 LSH_BITS = 4             # hyperplanes per band: 2^bits buckets
 TILE_QUERIES, TILE_ROWS = 512, 8192  # rows scored at once inside a block pair (bounds the score matrix)
 TILE_GROUPS = 256        # groups of a tile whose best give the first bound
+TILE_SPAN = 128          # neighbouring rows of a tile that are passed over together by their best
 SCORED_PAIRS = 1 << 16   # pairs scored in double precision at once
 LISTED_QUERIES = 2048    # query rows whose answers of several lists are held at once
 PAIR_SCHEMA = "query_id long, email_id long, similarity double"
@@ -107,6 +108,16 @@ def _scores(qu: np.ndarray, cu: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.
     return out
 
 
+def _reaching(sim: np.ndarray, least: np.ndarray):
+    """(row, column) of the scores at or above their row's ``least``: spans whose best is below it are not looked into."""
+    if sim.shape[1] % TILE_SPAN:
+        return np.divmod(np.flatnonzero(sim >= least[:, None]), sim.shape[1])
+    spans = sim.reshape(len(sim), -1, TILE_SPAN)
+    r, span = np.nonzero(spans.max(axis=2) >= least[:, None])
+    at, c = np.nonzero(spans[r, span] >= least[r, None])
+    return r[at], span[at] * TILE_SPAN + c
+
+
 def _top(qu: np.ndarray, qid: np.ndarray, cu: np.ndarray, cid: np.ndarray, k: int, exclude_self: bool):
     """The ``k`` best rows of ``cu`` (finite, by rising ``cid``) for each row of ``qu``: (query row, row, score).
 
@@ -116,21 +127,23 @@ def _top(qu: np.ndarray, qid: np.ndarray, cu: np.ndarray, cid: np.ndarray, k: in
     slack = np.float32((cu.shape[1] + 8) * 2.0 ** -22)
     c32 = cu.astype(np.float32)
     copies = int(np.unique(cid, return_counts=True)[1].max()) if exclude_self and len(cid) else 0
+    whole = len(cid) - len(cid) % TILE_SPAN  # what is over makes a tile of its own
+    tiles = [(a, min(a + TILE_ROWS, whole)) for a in range(0, whole, TILE_ROWS)] + [(whole, len(cid))] * (whole < len(cid))
+    held = np.empty(min(TILE_QUERIES, len(qid)) * min(TILE_ROWS, len(cid)), np.float32)  # one matrix for every tile
     rows, cols, scores = [], [], []
     for s in range(0, len(qid), TILE_QUERIES):
         own, ids = qu[s:s + TILE_QUERIES], qid[s:s + TILE_QUERIES]
         q32, bound = own.astype(np.float32), np.full(len(ids), -np.inf)
         best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        for a in range(0, len(cid), TILE_ROWS):
-            sim = q32 @ c32[a:a + TILE_ROWS].T
+        for a, b in tiles:
+            sim = np.matmul(q32, c32[a:b].T, out=held[:len(ids) * (b - a)].reshape(len(ids), b - a))
             least = bound.astype(np.float32)
             wide = sim.shape[1] // TILE_GROUPS
             if a == 0 and wide > 1 and k + copies < TILE_GROUPS:
                 # the best of each group: so many different rows reach the smallest of the leading ones
                 tops = sim[:, :wide * TILE_GROUPS].reshape(len(ids), wide, TILE_GROUPS).max(axis=1)
                 least = np.partition(tops, TILE_GROUPS - k - copies, axis=1)[:, TILE_GROUPS - k - copies]
-            hit = np.flatnonzero(sim >= (least - slack)[:, None])
-            r, c = np.divmod(hit, sim.shape[1])
+            r, c = _reaching(sim, least - slack)
             c += a
             if exclude_self:
                 other = ids[r] != cid[c]

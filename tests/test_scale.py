@@ -121,3 +121,98 @@ def test_tiles_hold_a_bounded_score_matrix_and_give_the_whole_answer(monkeypatch
         order = sorted((j for j in range(700) if ids[j] != i), key=lambda j: (np.isnan(sim[j]), -np.nan_to_num(sim[j]), ids[j]))[:9]
         mine = sorted(got[i], key=lambda r: (np.isnan(r["similarity"]), -np.nan_to_num(r["similarity"]), r["email_id"]))[:9]
         assert [r["email_id"] for r in mine] == [ids[j] for j in order]
+
+
+def test_spans_of_a_tile_that_hold_nothing_are_not_looked_into():
+    rng = np.random.default_rng(3)
+    sim = rng.standard_normal((40, 4 * knn.TILE_SPAN)).astype(np.float32)
+    least = np.r_[np.full(20, 2.5), np.full(19, -np.inf), np.inf].astype(np.float32)
+    for width in (4 * knn.TILE_SPAN, 3 * knn.TILE_SPAN + 5):  # whole spans, and a tile of what is over
+        part = np.ascontiguousarray(sim[:, :width])
+        for found, wanted in zip(knn._reaching(part, least), np.nonzero(part >= least[:, None])):
+            assert found.tolist() == wanted.tolist()
+    v = rng.standard_normal((5 * knn.TILE_SPAN + 9, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    r, c, _ = knn._top(v[:50], np.arange(50), v, np.arange(len(v)), 7, True)
+    exact = v[:50] @ v.T
+    exact[np.arange(50), np.arange(50)] = -2
+    assert c.reshape(50, 7).tolist() == np.argsort(-exact, axis=1, kind="stable")[:, :7].tolist()
+
+
+def test_an_equal_header_is_parsed_once(monkeypatch):
+    """A message looked at its content type nine times, each time parsing it anew."""
+    from email import headerregistry
+    parse, seen = headerregistry.ContentTypeHeader.value_parser, []
+    monkeypatch.setattr(headerregistry.ContentTypeHeader, "value_parser", staticmethod(lambda v: seen.append(v) or parse(v)))
+    raw = "Message-ID: <m{}@x>\nSubject: s\nContent-Type: text/plain; charset=utf-8; name=\"once\"\n\nHello {}"
+    for i in range(4):
+        row = mime._parse_one(i, raw.format(i, i).encode(), None)
+        assert row["ok"] and row["message_id"] == f"m{i}@x" and row["plain"] == f"Hello {i}"
+    assert len(seen) == 1
+    long = "Message-ID: <m@x>\nSubject: " + "a" * 2000 + "\n\nx"
+    before = mime._header.cache_info().currsize
+    assert len(mime._parse_one(1, long.encode(), None)["subject"]) == 2000
+    assert mime._header.cache_info().currsize <= before + 3 and mime._header.cache_info().maxsize == mime.KEPT_HEADERS
+
+
+def test_recognisers_try_only_places_where_a_match_begins():
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("0123456789+-(). aZ")) for _ in range(90)) for _ in range(300)]
+    texts += ["1.2.3.4.5 10.0.0.1, +1 (555) 123-4567", "4111 1111 1111 1111 123-45-6789", "x٣٤٥-12-3456", "((12)345 6789", ""]
+    tried = [r for r in pv.DEFAULT_RECOGNIZERS if r.first]
+    assert {r.entity_type for r in tried} == {"IP_ADDRESS", "CREDIT_CARD", "US_SSN", "PHONE_NUMBER"}
+    for r in pv.DEFAULT_RECOGNIZERS:
+        for text in texts:
+            assert [m.span() for m in pv._matches(r, text)] == [m.span() for m in re.finditer(r.pattern, text)]
+
+
+def test_stage_embeds_a_message_once(spark, tmp_path):
+    """The search counts, filters and deals its queries: each of these embedded every message anew."""
+    from inboxlake.operators import triage
+    from inboxlake.streaming import pipeline as pl
+    calls = spark.sparkContext.accumulator(0)
+
+    def embedder(text):
+        def fn(s: pd.Series) -> pd.Series:
+            calls.add(int(s.notna().sum()))
+            return s.map(lambda t: None if t is None else [float(len(t)), 1.0])
+        return F.pandas_udf(fn, "array<double>")(text)
+    msgs = spark.createDataFrame([(i, "a@b.org", "b.org", f"s{i}", "text " * i, True) for i in range(1, 7)],
+                                 "id long, sender_email string, sender_domain string, anonymized_subject string, "
+                                 "anonymized_body string, is_anonymized boolean")
+    seed = pl.empty_seed(spark)
+    emails = msgs.select("id", "sender_email", "sender_domain", "anonymized_subject", F.current_timestamp().alias("created_at"))
+    stored = spark.createDataFrame([(9, [1.0, 2.0]), (2, [0.5, 1.0])], "email_id long, embedding array<double>")
+    taken = []
+
+    def materialize(df, name):
+        taken.append(name)
+        df.write.parquet(f"{tmp_path}/{name}")
+        if name == "answered":  # parsed here, not by each of the outputs
+            assert {"parsed", "violations"} <= set(df.columns)
+        return spark.read.parquet(f"{tmp_path}/{name}")
+    hashing, triage.hashing_embedder = triage.hashing_embedder, lambda dims: embedder
+    try:
+        outputs = triage.triage_stage(msgs, stored, emails, seed["results"], seed["categories"], dims=2, materialize=materialize)
+    finally:
+        triage.hashing_embedder = hashing
+    for out in outputs:
+        assert not re.search("parse_?json", out._jdf.queryExecution().optimizedPlan().toString().lower())
+    assert outputs[2].where("status = 'started'").count() == 6
+    assert taken == ["query_vectors", "answered"] and calls.value == 6
+
+
+def test_hashed_vectors_of_tokens_hashed_together():
+    import zlib
+
+    from inboxlake.operators import triage
+    texts = ["Ärger mit  dem\tZug ", "", " \n", "a a a b", "x y " * 50]
+    out = triage._hash_embed(pd.Series([*texts, None]), 8)
+    assert out[5] is None
+    for text, got in zip(texts, out):
+        v = np.zeros(8)
+        for token in text.lower().split():
+            h = zlib.crc32(token.encode("utf-8"))
+            v[h % 8] += 1.0 if (h >> 16) & 1 else -1.0
+        n = np.linalg.norm(v)
+        assert got == (v / n if n > 0 else v).tolist() and all(type(x) is float for x in got)
